@@ -5,7 +5,7 @@ holds the next chunk of those, with its own bitmap, and so on. A rank directory
 a position in one level to its position in the next, so any token or range is read without decoding what precedes it.
 
 A file is one task's run of blocks; a block holds whole documents and is closed at ``BLOCK_IDS`` ids. Blocks are
-written by Spark's Parquet writer as (file, block, start_in_file, doc_ids, payload), so any store that Spark writes
+written by Spark's Parquet writer as (file, block, start_in_file, n_ids, doc_ids, payload), so any store that Spark writes
 will do and a task that is run again replaces its output. A payload holds the ids' levels and those of the documents'
 lengths.
 
@@ -158,10 +158,10 @@ def write_tokens(
         def close() -> pa.RecordBatch:
             lengths = pack(np.array([len(p) for p in parts], np.uint32))
             payload = pack(np.concatenate(parts)) + lengths
-            columns = [[file], [block], [start], [ids], [payload]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            columns = [[file], [block], [start], [held], [ids], [payload]]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "block", "start_in_file", "doc_ids", "payload"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "block", "start_in_file", "n_ids", "doc_ids", "payload"]
             )
 
         for batch in source:
@@ -180,14 +180,14 @@ def write_tokens(
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    schema = "file int, block int, start_in_file long, doc_ids array<long>, payload binary"
+    schema = "file int, block int, start_in_file long, n_ids long, doc_ids array<long>, payload binary"
     ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (little-endian unsigned
     32-bit ids)."""
-    ordered = spark.read.parquet(path).select("file", "block", "start_in_file", "doc_ids", "payload")
+    ordered = spark.read.parquet(path).select("file", "n_ids", "start_in_file", "doc_ids", "payload")
     def documents(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in range(batch.num_rows):
@@ -209,13 +209,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     read = ordered.mapInArrow(documents, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one short row per file is broadcast
-    sizes = ordered.select("file", F.expr(_LEVEL_LENGTH).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
+    sizes = ordered.groupBy("file").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return read.join(F.broadcast(offsets), "file").select(
         "doc_id", (F.col("offset") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32"
     )
 
-
-#: Bytes 5 to 8 of a payload, little-endian: the number of ids in it.
-_LEVEL_LENGTH = "conv(hex(reverse(substring(payload, 5, 4))), 16, 10)"
