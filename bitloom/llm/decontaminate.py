@@ -25,8 +25,9 @@ from .common import cut, text_or_empty
 MASKS = ("11111", "110111")
 WINDOW = 13
 SIMILARITY = 0.8
-#: The benchmark's seeds are broadcast up to this many bytes of benchmark text; beyond it Spark shuffles both sides.
-BROADCAST_BYTES = 8 << 20
+#: The benchmark's seeds are broadcast up to this many bytes of benchmark text (a seed for each word and mask, some 20
+#: times the text); beyond it Spark joins as it sees fit, by shuffling both sides.
+BROADCAST_BYTES = 2 << 20
 
 
 def tokens(text_col: str) -> Column:
