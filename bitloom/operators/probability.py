@@ -94,3 +94,24 @@ def structure_input(left: Column, bpos: Column, b0: Column) -> Column:
 def persistence_input(c1: Column, bpos: Column) -> Column:
     """Text tends to stay ASCII or not: an input at the first bit of a byte."""
     return F.when(bpos == 0, F.when(c1 >= 128, 512).otherwise(-512)).otherwise(0)
+
+
+def history_prior(n0: Column, n1: Column) -> Column:
+    """Initial probability of a 1 for a history that stands for n0 zeros and n1 ones, each count weighed three times."""
+    return (3 * n1 + 1) / (3 * (n0 + n1) + 2)
+
+
+def history_inputs(p12: Column, seen: Column, young: Column) -> list[Column]:
+    """Mixer inputs of a history's 12-bit probability: log odds, halved and halved again while the history is young, and
+    the distance from a half; both 0 for an unseen context."""
+    odds = F.call_function("shiftright", stretch(p12), F.when(young, 2).otherwise(1))
+    return [F.when(seen, odds).otherwise(0), F.when(seen, F.call_function("shiftright", p12 - 2048, F.lit(2))).otherwise(0)]
+
+
+def miss_register(rows: DataFrame, keys: tuple[str, ...], order_cols: tuple[str, ...], miss: str, width: int = 8) -> DataFrame:
+    """Rows with misses: the last ``width`` values of the 0/1 column ``miss`` before this row as bits, the latest lowest."""
+    ordered = Window.partitionBy(*keys).orderBy(*order_cols)
+    total = F.lit(0)
+    for k in range(width):
+        total = total + F.coalesce(F.lag(miss, k + 1).over(ordered), F.lit(0)) * (1 << k)
+    return rows.withColumn("misses", total)

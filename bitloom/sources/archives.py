@@ -42,7 +42,7 @@ def read_header(archive: Column) -> Column:
     return F.struct(level.alias("level"), size.alias("n_bytes"), (count + 13).alias("body_at"), error.alias("error"))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Opaque files: path, n_bytes, content."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), "content")
 

@@ -195,3 +195,28 @@ def test_files_and_parquet_sources(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "d"))
     read = archives.read_documents(spark, str(tmp_path / "d"))
     assert read.count() == len(TEXTS) and read.columns == ["doc_id", "content"]
+
+
+def test_priors_and_misses(spark):
+    frame = spark.createDataFrame([(1, i, m) for i, m in enumerate([1, 0, 1, 1])], "k int, pos int, miss int").repartition(3)
+    rows = probability.miss_register(frame, ("k",), ("pos",), "miss").orderBy("pos").collect()
+    assert [r.misses for r in rows] == [0, 1, 2, 5]
+    one = spark.range(1).select(
+        probability.history_prior(F.lit(0), F.lit(0)).alias("p"), *[c.alias(f"x{i}") for i, c in enumerate(probability.history_inputs(F.lit(3000), F.lit(True), F.lit(False)))]
+    ).first()
+    assert one.p == 0.5 and one.x1 == (3000 - 2048) >> 2 and one.x0 > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from bitloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        (tmp_path / "in" / f"{n}.txt").write_bytes(b"some text " * n)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    assert main(["compress", src, out, "--level", "3"]) == 0
+    assert main(["compare", out, src]) == 0
+    (tmp_path / "in" / "1.txt").write_bytes(b"some test ")
+    assert main(["compare", out, src]) == 1
+    assert "differ at 7" in capsys.readouterr().out
+    assert main(["extract", out, str(tmp_path / "back")]) == 0
