@@ -2,7 +2,7 @@
 
 Five small transducers read a clause word by word and are composed into one:
 
-* insult: words that begin with a learned stem, with the stem's weight (evidence from labelled rows)
+* insult: words that begin with a learned stem, with the stem's weight (log odds over the base rate)
 * threat: verbs of harm
 * target: words that address or name somebody; an insult or threat near one counts as aimed
 * negation: turns what follows within three words
@@ -12,9 +12,9 @@ The composed machine's state is (words of negation left, reported, last target's
 weighted arcs of five kinds, which are added up for each clause; the document's features are sums over its clauses and
 the heaviest clause. Arc weights come from a ridge-penalised logistic regression on labelled rows.
 
-Stems are learned on labelled rows too: a stem or word counts when it follows many different words in rows labelled 1
-and next to none in rows labelled 0. Counting the words before, not occurrences, keeps groups of copies from teaching
-their own vocabulary. Learning reads a sample of at most ``sample_rows`` labelled rows, chosen by hash; scoring reads
+Stems are learned on labelled rows too: a stem or word counts when it follows clearly more different words in rows
+labelled 1 than their share of the text explains. Counting the words before, not occurrences, keeps groups of copies
+from teaching their own vocabulary. Learning reads a sample of at most ``sample_rows`` labelled rows, chosen by hash; scoring reads
 every whole text.
 
 Defined results: null and empty texts get the score of a text without matches. Rows labelled null and rows that the
@@ -42,6 +42,10 @@ SAMPLE_ROWS = 12_000
 FOLDS = 5
 MAX_STEMS = 4_000
 STEM_LENGTHS = (4, 5, 6, 7)
+#: A stem needs so many different words before it in toxic rows, so many standard deviations above its share, and
+#: odds e^MIN_WEIGHT times the base rate's.
+MIN_CONTEXTS, SIGMAS, MIN_WEIGHT = 6, 6.0, 1.5
+_MASKS = 4
 
 TARGETS = frozenset(
     "you your he she they him her them this that these those du dich dir ihr sie er es dieser diese dieses tu toi te il "
@@ -59,8 +63,9 @@ REPORTS = frozenset(
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
-#: Features: plain, aimed, negated and reported arcs (log of 1 + sum of weights), threats, heaviest clause, any arc.
-N_FEATURES = 7
+#: Features: plain, aimed, negated, reported and threat arcs (log of 1 + sum of weights), heaviest clause, any arc, length
+#: (log of 1 + words), weight per word.
+N_FEATURES = 9
 
 
 class Grammar:
@@ -71,7 +76,8 @@ class Grammar:
         self.classes: dict[str, tuple[int, float]] = {}
 
     def _class(self, word: str) -> tuple[int, float]:
-        weights = [self.stems[s] for s in (f"{word}$", *(word[:n] for n in STEM_LENGTHS if n < len(word) or n == len(word))) if s in self.stems]
+        forms = (f"{word}$", *(word[:n] for n in STEM_LENGTHS if n <= len(word)))
+        weights = [self.stems[s] for s in forms if s in self.stems]
         if weights:
             return INSULT, max(weights)
         for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
@@ -111,9 +117,10 @@ class Grammar:
 
     def features(self, text: str) -> list[float]:
         known = self.classes
-        sums, heaviest = [0.0] * 5, 0.0
+        sums, heaviest, n_words = [0.0] * 5, 0.0, 0
         for part in _CLAUSE.split(text.lower()):
             words = _WORD.findall(part)
+            n_words += len(words)
             for w in words:
                 if w not in known:
                     if len(known) > 500_000:
@@ -124,7 +131,9 @@ class Grammar:
                 arcs = self.clause(classes)
                 sums = [a + b for a, b in zip(sums, arcs)]
                 heaviest = max(heaviest, arcs[0] + arcs[1] + arcs[4])
-        return [*(math.log1p(max(0.0, s)) for s in sums), heaviest, float(any(s > 0 for s in sums))]
+        logs = [math.log1p(max(0.0, s)) for s in sums]
+        density = 100 * (sums[0] + sums[1] + sums[4]) / (n_words + 50)
+        return [*logs, heaviest, float(any(s > 0 for s in sums)), math.log1p(n_words) / 5, math.log1p(density)]
 
 
 @dataclass
@@ -142,24 +151,40 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds == 0
 
 
+def _contexts(label: int) -> Column:
+    """Estimated number of different words before a stem in rows of this label, by linear counting."""
+    ones = F.lit(0)
+    for k in range(_MASKS):
+        mine = (F.col("toxic") == label) & (F.col("part") == k)
+        ones = ones + F.bit_count(F.bit_or(F.when(mine, F.col("spot")).otherwise(F.lit(0).cast("long"))))
+    size = 64.0 * _MASKS
+    return -size * F.log(1 - F.least(ones, F.lit(size - 1)) / size)
+
+
 def _stems(sample: DataFrame, max_stems: int) -> dict[str, float]:
-    """Learned stems with their log odds."""
+    """Learned stems with their log odds over the base rate."""
     words = F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}'’]+")
     pairs = sample.select("toxic", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before"))).alias("p"))
     pairs = pairs.select("toxic", F.col("p.w").alias("w"), F.coalesce("p.before", F.lit("")).alias("before")).where(F.length("w") > 0)
     forms = [F.concat("w", F.lit("$"))] + [F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEM_LENGTHS]
-    spot = F.expr("shiftleft(1L, cast(pmod(xxhash64(before), 64) as int))")
-    spread = pairs.select("toxic", spot.alias("spot"), F.explode(F.array(*forms)).alias("stem")).where(F.col("stem").isNotNull())
-    none = F.lit(0).cast("long")
-    seen = spread.groupBy("stem").agg(
-        F.bit_count(F.bit_or(F.when(F.col("toxic") == 1, F.col("spot")).otherwise(none))).alias("n1"),
-        F.bit_count(F.bit_or(F.when(F.col("toxic") == 0, F.col("spot")).otherwise(none))).alias("n0"),
-    )
-    good = seen.where((F.col("n1") >= 6) & (F.col("n0") * 8 <= F.col("n1")))
-    best = good.orderBy(F.desc("n1"), "n0", "stem").limit(max_stems).collect()
-    found = {r["stem"]: math.log((r["n1"] + 0.5) / (r["n0"] + 0.5)) for r in best}
-    # of nested stems the shortest is enough
-    return {s: w for s, w in found.items() if not any(s[:n] in found for n in STEM_LENGTHS if n < len(s.rstrip("$")) or n == len(s) - 1)}
+    hashed = pairs.withColumn("h", F.pmod(F.xxhash64("before"), F.lit(64 * _MASKS)).cast("int"))
+    spot = F.expr("shiftleft(1L, h % 64)")
+    spread = hashed.select("toxic", spot.alias("spot"), F.floor(F.col("h") / 64).alias("part"), F.explode(F.array(*forms)).alias("stem"))
+    seen = spread.where(F.col("stem").isNotNull()).groupBy("stem").agg(_contexts(1).alias("n1"), _contexts(0).alias("n0"))
+    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
+    n, expected = F.col("n1") + F.col("n0"), (F.col("n1") + F.col("n0")) * share
+    weight = F.log((F.col("n1") + 0.5) / (F.col("n0") + 0.5)) - math.log(share / (1 - share))
+    clear = (F.col("n1") >= MIN_CONTEXTS) & (F.col("n1") - expected >= SIGMAS * F.sqrt(n * share * (1 - share)))
+    clear = clear & (F.col("n0") < 2 * 64 * _MASKS)  # beyond that the estimate is blind; such words are no evidence
+    good = seen.where(clear).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
+    best = good.orderBy(F.desc(F.col("n1") * F.col("weight")), "stem").limit(max_stems).collect()
+    found: dict[str, float] = {}
+    for r in sorted(best, key=lambda r: (len(r["stem"]), r["stem"])):  # a longer form has to tell clearly more than its stem
+        shorter = [found[r["stem"][:n]] for n in STEM_LENGTHS if r["stem"][:n] in found]
+        if not shorter or r["weight"] > max(shorter) + 1:
+            found[r["stem"]] = r["weight"]
+    return found
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
