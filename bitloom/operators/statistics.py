@@ -84,3 +84,8 @@ def bit_history(bits: DataFrame, keys: tuple[str, ...], order_col: str = "pos",
 def eviction_rank(n0: Column, n1: Column) -> Column:
     """How much a history is worth keeping: its larger count, doubled while the other is zero."""
     return F.when(F.least(n0, n1) == 0, F.greatest(n0, n1) * 2).otherwise(F.greatest(n0, n1))
+
+
+def active_orders(seen: list[Column]) -> Column:
+    """How many orders have met their context before."""
+    return F.aggregate(F.array(*[F.coalesce(s.cast("int"), F.lit(0)) for s in seen]), F.lit(0), lambda a, x: a + x)

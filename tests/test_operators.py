@@ -119,6 +119,7 @@ def test_entropy_and_confidence(docs):
     assert (r.n_bytes, r.n_contexts) == (total, len(counts)) and r.bits_per_byte == pytest.approx(bits / total)
     digits = docs.sparkSession.range(1).select(statistics.confidence_code([statistics.confidence_digit(F.lit(n)) for n in (0, 1, 7)]).alias("c"))
     assert digits.first().c == 5
+    assert docs.limit(1).select(statistics.active_orders([F.lit(True), F.lit(None), F.lit(False), F.lit(True)]).alias("n")).first().n == 2
 
 
 def test_bit_history(spark):
