@@ -63,6 +63,7 @@ _MARKS = frozenset(
     "subscription newsletter signup login search form widget widgets toolbar pager pagination tags byline copyright legal "
     "disclaimer complementary contentinfo dialog hidden".split()
 )
+_LAYOUT = frozenset("has no not with without".split())
 _MARK_WORD = re.compile(r"[a-z]+")
 #: Where a cut-out part of these stood, the text around it goes on.
 _INLINE = frozenset("a b button canvas iframe i input label math object option script select small span style svg template textarea".split())
@@ -85,11 +86,13 @@ class PageModel:
 
 
 def _attributes(attrs: str) -> str:
-    return " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if attrs and "=" in attrs else ""
+    return " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if "=" in attrs else ""
 
 
 def _marked(values: str) -> bool:
-    return any(w in _MARKS for w in _MARK_WORD.findall(values))
+    """Whether a value names a part without article text; "has-sidebar" and the like describe the page's layout."""
+    names = (set(_MARK_WORD.findall(value)) for value in values.split())
+    return any(words & _MARKS and not words & _LAYOUT for words in names)
 
 
 def stream(page: str) -> Iterator[tuple[str, str, bool]]:

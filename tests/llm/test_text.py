@@ -25,6 +25,8 @@ def test_page_text():
     inside, outside = h.learn_counts(PAGE)
     assert inside["p"] == 6 and outside["nav"] == 2
     assert h.extract(PAGE, h.PageModel()) == TEXT
+    layout = '<div class="has-sidebar wide"><p>kept</p><div class="sidebar">gone</div></div>'
+    assert h.extract(layout, h.PageModel()) == "kept"
     assert h.extract("plain &lt;words&gt;", h.PageModel()) == "plain <words>"
     assert h.extract("", h.PageModel()) == h.extract("<p></p>", h.PageModel()) == ""
 
