@@ -15,13 +15,16 @@ repeated ids in the order of their texts. An empty table gives no blocks. Other
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,36 @@ from .common import text_or_empty, tokenizer_path
 
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 300_000
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Texts of other characters, or with the beginning of special tokens, are left to the library. Not among these: the
+#: capital whose lower case is two characters, control characters and odd white space.
+_LATIN = frozenset(map(chr, [9, 10, 11, 12, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x250)]))
+#: The public tokenizer's words among Latin letters in lower case.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write the other bytes as characters from 256 on.
+_BYTE_LEVEL = [chr(b if b in _KEPT else 256 + b - sum(k < b for k in _KEPT)) for b in range(256)]
+
+
+def _is_public(config: dict) -> bool:
+    steps = config.get("pre_tokenizer", {}).get("pretokenizers", [])
+    normal = [n.get("type") for n in config.get("normalizer", {}).get("normalizers", [])]
+    pattern = steps[0].get("pattern", {}).get("Regex") if steps else None
+    return normal == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and pattern == _PATTERN
+
+
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library that drops white space and splits at it; each distinct
-    run of other characters goes to the library once."""
+    """Encodes texts with a tokenizer of the tokenizers library that drops white space and splits at it.
+
+    Each distinct word goes to the library once; what is remembered is a flat array of ids, and a batch of texts is put
+    together by one vectorised gather. Where the tokenizer is the public one (lower case, byte level, the word pattern
+    below) and a text has Latin letters only, it is cut into the tokenizer's own words first and these go straight to
+    its merge model; all other texts are cut at white space and go through the whole library.
+    """
 
     def __init__(self, model: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
@@ -47,19 +73,61 @@ class WordEncoder:
 
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = special_as_text
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        split = [_CHUNK.findall(t) for t in texts]
-        new = sorted({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            known.update((w, tuple(e.ids)) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        for words in split:
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+        self.merges = self.library.model if _is_public(json.loads(model)) else None
+        self.old: tuple[dict[str, int], array, array, array] = ({}, array("Q"), array("Q"), array("I"))
+        self.now = ({}, array("Q"), array("Q"), array("I"))
+
+    def _plain(self, text: str) -> bool:
+        return self.merges is not None and _LATIN.issuperset(text) and "<|" not in text
+
+    def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        known, starts, sizes, flat = self.now
+        known.update(zip(words, range(len(starts), len(starts) + len(words))))
+        lengths = list(map(len, ids))
+        starts.extend(accumulate(lengths[:-1], initial=len(flat)) if ids else ())
+        sizes.extend(lengths)
+        flat.extend(chain.from_iterable(ids))
+
+    def _learn(self, plain: set[str], other: set[str]) -> None:
+        """``plain``: the tokenizer's own words; ``other``: runs between white space."""
+        if len(self.now[0]) > REMEMBERED_WORDS:  # words in use move on from the old generation, the rest is forgotten
+            self.old, self.now = self.now, ({}, array("Q"), array("Q"), array("I"))
+        new = [plain.difference(self.now[0]), other.difference(self.now[0])]
+        old, starts, sizes, flat = self.old
+        kept = [w for part in new for w in part if w in old]
+        self._add(kept, [flat[starts[i] : starts[i] + sizes[i]] for i in map(old.__getitem__, kept)])
+        words = list(new[0].difference(kept))
+        mapped = (w if w.isascii() else "".join(map(_BYTE_LEVEL.__getitem__, w.encode())) for w in words)
+        self._add(words, [[t.id for t in found] for found in map(self.merges.tokenize, mapped)] if words else [])
+        words = list(new[1].difference(kept, words))
+        self._add(words, [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # a batch makes very many lists and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = list(map(self._plain, texts))
+        split = [_PIECE.findall(t.lower()) if p else _CHUNK.findall(t) for t, p in zip(texts, plain)]
+        self._learn(set().union(*compress(split, plain)), set().union(*(w for w, p in zip(split, plain) if not p)))
+        known, starts, sizes, flat = self.now
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        lengths = np.frombuffer(sizes, np.uint64)[at].astype(np.int64) if len(at) else np.empty(0, np.int64)
+        ends = np.cumsum(lengths)
+        if len(at):
+            first = np.frombuffer(starts, np.uint64)[at].astype(np.int64) - (ends - lengths)
+            ids = np.frombuffer(flat, np.uint32)[np.repeat(first, lengths) + np.arange(ends[-1])]
+        else:
+            ids = np.empty(0, np.uint32)
+        borders = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return np.split(ids, borders[:-1]) if len(split) else []
 
 
 @lru_cache(maxsize=2)
