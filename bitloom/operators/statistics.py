@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +37,25 @@ def run_rows(rows: DataFrame, context: tuple[str, ...], cap: int = 255) -> DataF
     return marked.select(*rows.columns, "run", F.col("b").alias("byte1"), "byte2", "byte3")
 
 
-def run_histogram(rows: DataFrame, context: tuple[str, ...], cap: int = 255) -> DataFrame:
-    """run, n: final lengths of the runs of equal bytes in each document and context."""
-    ordered = Window.partitionBy("doc_id", *context).orderBy("pos")
-    new = F.coalesce((F.lag("b").over(ordered) != F.col("b")).cast("int"), F.lit(1))
-    islands = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    lengths = islands.groupBy("doc_id", *context, "__run").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("run"))
-    return lengths.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+def run_histogram(df: DataFrame, content: str = "text", cap: int = 255) -> DataFrame:
+    """run, n: final lengths of the runs of equal bytes that follow each byte of a text. A text's runs are found where
+    it is read, by one stable sort of its positions by the byte before, so nothing but the histogram is shuffled."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            total = np.zeros(cap + 1, np.int64)
+            for value in batch.column(0):
+                b = np.frombuffer(value.as_buffer(), np.uint8)
+                if len(b):
+                    before = np.concatenate([[0], b[:-1]])
+                    order = np.argsort(before, kind="stable")
+                    heads = np.flatnonzero((np.diff(before[order], prepend=-1) != 0) | (np.diff(b[order].astype(int), prepend=-1) != 0))
+                    total += np.bincount(np.minimum(np.diff(heads, append=len(b)), cap), minlength=cap + 1)
+            runs = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.astype(np.int32)), pa.array(total[runs])], names=["run", "n"])
+
+    found = df.select(F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("c")).mapInArrow(batches, "run int, n long")
+    return found.groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def confidence_digit(distinct: Column) -> Column:

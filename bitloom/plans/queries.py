@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
 from ..operators import codec, contexts, mixing, probability, statistics, verify
-from ..operators.bytestream import bit_counts, byte_counts, byte_rows, to_bits, to_bytes
+from ..operators.bytestream import bit_counts, byte_counts, to_bits, to_bytes
+from ..shared import shared_path
 from ..streaming import incremental
 
 
@@ -180,8 +179,7 @@ SELECT type, count(*) AS n_prefixes, CAST(sum(n) AS BIGINT) AS n_positions FROM
 
 
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = byte_rows(_documents(spark, sf_dir), history=1).select("doc_id", "pos", "b", F.coalesce("c1", F.lit("\0")).alias("c1"))
-    return statistics.run_histogram(rows, ("c1",))
+    return statistics.run_histogram(_documents(spark, sf_dir))
 
 
 RUN_LENGTHS = _BYTES + """, r AS (
@@ -364,10 +362,8 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GR
 
 def _finish(spark: SparkSession, counts: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what has arrived and gives the last state of its result."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    name = f"s{uuid.uuid4().hex}"
-    out = f"{root.rstrip('/')}/{name}-out"
-    sink = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True)
+    out = shared_path(spark, "stream-result")
+    sink = counts.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True)
     query = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return spark.read.parquet(out)

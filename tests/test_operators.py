@@ -85,8 +85,10 @@ def test_runs(spark):
     third = "AAAAAAAABCA"
     assert [r.run for r in rows] == run
     assert [(chr(r.byte2), chr(r.byte3)) for r in rows] == list(zip(second, third))
-    histogram = {r.run: r.n for r in statistics.run_histogram(frame, ("c1",), cap=3).collect()}
-    assert histogram == {3: 2, 1: 4}
+    texts = spark.createDataFrame([("aaab",), ("xaxaxb",), (None,), ("",), ("q" * 400,)], "text string")
+    # after a: aa b | after x: aa b, after a: xx | after nothing one byte each, after q: 399
+    histogram = {r.run: r.n for r in statistics.run_histogram(texts, cap=255).collect()}
+    assert histogram == {1: 5, 2: 3, 255: 1}
 
 
 def test_closed_form_equals_window(docs):
