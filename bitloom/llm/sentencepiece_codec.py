@@ -39,7 +39,7 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LONE = re.compile("[\udc80-\udcff]")
 #: Words whose pieces a worker remembers between batches; then it starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 
 
 class Vocabulary:

@@ -41,6 +41,8 @@ from .common import cut, text_or_empty
 SAMPLE_ROWS = 12_000
 FOLDS = 5
 MAX_STEMS = 4_000
+#: Words whose class a task remembers; then it starts anew.
+REMEMBERED_WORDS = 200_000
 STEM_LENGTHS = (4, 5, 6, 7)
 #: A stem needs so many different words before it in toxic rows, so many standard deviations above its share, and
 #: odds e^MIN_WEIGHT times the base rate's.
@@ -123,7 +125,7 @@ class Grammar:
             n_words += len(words)
             for w in words:
                 if w not in known:
-                    if len(known) > 500_000:
+                    if len(known) > REMEMBERED_WORDS:
                         known.clear()
                     known[w] = self._class(w)
             classes = [known[w] if w in known else self._class(w) for w in words]
