@@ -49,8 +49,8 @@ def bit_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BY_LANG = ", cnt AS (SELECT lang, b, count(*) AS n FROM bytes GROUP BY ALL)" + _NODES.format(b="b", src="cnt", more=", lang")
 BIT_NODE_COUNTS = _BYTES + _BY_LANG + """
-SELECT lang, c0, CAST(sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS BIGINT) AS n0,
-       CAST(sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS BIGINT) AS n1 FROM nodes GROUP BY lang, c0
+SELECT lang, CAST(c0 AS INTEGER) AS c0, CAST(sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS BIGINT) AS n0,
+       CAST(sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS BIGINT) AS n1 FROM nodes GROUP BY lang, nodes.c0
 """
 
 
@@ -64,7 +64,7 @@ def bit_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BIT_STRETCH = _BYTES + ", cnt AS (SELECT b, count(*) AS n FROM bytes GROUP BY b)" + _NODES.format(b="b", src="cnt", more="") + """,
-q AS (SELECT c0, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS n0, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS n1 FROM nodes GROUP BY c0),
+q AS (SELECT CAST(c0 AS INTEGER) AS c0, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS n0, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS n1 FROM nodes GROUP BY nodes.c0),
 p AS (SELECT c0, CAST(greatest(1, least(4095, floor(n1 * 4096 / (n0 + n1)))) AS INTEGER) AS p12,
              CAST(16384 // (2 * (n0 % 1024) + 3) AS INTEGER) AS rate FROM q),
 s AS (SELECT *, CAST(greatest(-2047, least(2047, round(256 * ln((p12 / 4096.0) / (1 - p12 / 4096.0))))) AS INTEGER) AS stretched FROM p)
@@ -161,7 +161,7 @@ WITH t AS (
   FROM t
 )
 """
-TOKEN_LENGTHS = _TOKENS + "SELECT type, strlen(token) AS n_bytes, count(*) AS n FROM k GROUP BY ALL"
+TOKEN_LENGTHS = _TOKENS + "SELECT type, CAST(strlen(token) AS INTEGER) AS n_bytes, count(*) AS n FROM k GROUP BY ALL"
 
 
 def token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ RUN_LENGTHS = _BYTES + """, r AS (
   SELECT doc_id, c1, b, pos, row_number() OVER (PARTITION BY doc_id, c1 ORDER BY pos)
          - row_number() OVER (PARTITION BY doc_id, c1, b ORDER BY pos) AS island FROM bytes
 ), g AS (SELECT least(count(*), 255) AS run FROM r GROUP BY doc_id, c1, b, island)
-SELECT run, count(*) AS n FROM g GROUP BY run
+SELECT CAST(run AS INTEGER) AS run, count(*) AS n FROM g GROUP BY 1
 """
 
 
