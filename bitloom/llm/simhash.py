@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import cut, text_or_empty
 from .components import components
 
@@ -197,7 +198,6 @@ def simhash_components(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, one document of each component; rows that repeat the kept id stay."""
-    found = simhash_components(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The input's rows and columns, one row of each group of near copies. Fingerprints four bits apart miss most of
+    these, so links are pairs of five-word Jaccard similarity 0.8 or more (see ``near_copies``)."""
+    return near_copies.drop_near_copies(docs, id_col, text_col)
