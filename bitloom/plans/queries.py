@@ -378,37 +378,44 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.join(sizes, "item_id")
 
 
-def _item_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_bits(to_bytes(table(spark, sf_dir, "benchmark"), keep=("item_id",), history=1))
+def _document_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_bits(to_bytes(table(spark, sf_dir, "documents"), keep=("doc_id",), history=1))
 
 
 def bit_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded history counts and capped estimates of each benchmark text's partial bytes."""
-    bits = _item_bits(spark, sf_dir)
-    states = statistics.bit_history(bits, ("item_id", "c0"))
+    """Bounded history counts and capped estimates of each document's partial bytes, summed over documents by partial
+    byte."""
+    bits = _document_bits(spark, sf_dir)
+    states = statistics.bit_history(bits, ("doc_id", "c0"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "y"))), lambda x: x["y"])
-    capped = bits.groupBy("item_id", "c0").agg(ordered.alias("ys")).select(
-        "item_id", "c0", probability.capped_fold(F.col("ys"), 4).alias("m")
+    capped = bits.groupBy("doc_id", "c0").agg(F.count(F.lit(1)).alias("n"), ordered.alias("ys")).select(
+        "doc_id", "c0", "n", probability.capped_fold(F.col("ys"), 4).alias("m")
     )
-    return states.join(capped, ["item_id", "c0"]).select(
-        "item_id", "c0", "n0", "n1", statistics.eviction_rank(F.col("n0"), F.col("n1")).alias("rank"), F.col("m.p").alias("p22"), F.col("m.n").alias("seen")
+    total = lambda c: F.sum(c).cast("long")
+    return states.join(capped, ["doc_id", "c0"]).groupBy("c0").agg(
+        F.count(F.lit(1)).alias("n_docs"), total("n").alias("n_bits"), total("n0").alias("n0"), total("n1").alias("n1"),
+        total(statistics.eviction_rank(F.col("n0"), F.col("n1"))).alias("rank"), total("m.p").alias("p22"), total("m.n").alias("seen"),
     )
 
 
 def mixed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mixing step for each bit of the benchmark: two orders' estimates, equal weights, the error and the trained
-    weights' sum."""
-    bits = _item_bits(spark, sf_dir)
-    estimated = probability.prequential(bits, ("item_id", "c0"), ("pos",)).withColumnRenamed("p1", "p_order0")
-    estimated = probability.prequential(estimated, ("item_id", "c1", "c0"), ("pos",)).withColumnRenamed("p1", "p_order1")
+    """One mixing step for each bit of the documents: two orders' estimates, equal weights, the error and the trained
+    weights' sum; sums for each document."""
+    bits = _document_bits(spark, sf_dir)
+    estimated = probability.prequential(bits, ("doc_id", "c0"), ("pos",)).withColumnRenamed("p1", "p_order0")
+    estimated = probability.prequential(estimated, ("doc_id", "c1", "c0"), ("pos",)).withColumnRenamed("p1", "p_order1")
     p12 = [F.greatest(F.lit(1), F.least(F.lit(4095), F.round(F.col(c) * 4096).cast("int"))) for c in ("p_order0", "p_order1")]
     inputs = F.array(*[x for p in p12 for x in probability.direct_inputs(p)], F.lit(256))
     weights = F.array(*[F.lit(16384)] * 5)
-    rows = estimated.select("item_id", "pos", "bpos", "y", inputs.alias("x"), weights.alias("w"))
+    rows = estimated.select("doc_id", "pos", "bpos", "y", inputs.alias("x"), weights.alias("w"))
     rows = rows.withColumn("p", mixing.mix(F.col("x"), [F.col("w")], F.array(F.lit(16384))))
     rows = rows.withColumn("error", mixing.error_of(F.col("y"), F.col("p"), F.lit(6 * 65536)))
     trained = F.aggregate(mixing.train(F.col("x"), F.col("w"), F.col("error")), F.lit(0), lambda a, v: a + v)
-    return rows.select("item_id", "pos", "bpos", "y", "p", "error", trained.alias("weight_sum"))
+    total = lambda c: F.sum(c).cast("long")
+    return rows.withColumn("trained", trained).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_bits"), total("y").alias("n_ones"), total("p").alias("p_sum"), total("error").alias("error_sum"),
+        total(F.abs("error")).alias("distance_sum"), total("trained").alias("weight_sum"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
