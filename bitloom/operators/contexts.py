@@ -28,40 +28,72 @@ def token_type(b: Column) -> Column:
     return F.when(alnum, 0).when(b < 128, 1).otherwise(2)
 
 
+_AFTER = r"[\x80-\xBF]"
+#: A lead byte with what it takes up: as many continuation bytes as it asks for, or fewer and the byte that breaks off.
+_SEQUENCE = (
+    r"[\xC0-\xDF][\s\S]?"
+    rf"|[\xE0-\xEF](?:{_AFTER}[\s\S]?|[\s\S])?"
+    rf"|[\xF0-\xF7](?:{_AFTER}{{2}}[\s\S]?|{_AFTER}[\s\S]?|[\s\S])?"
+    r"|[\s\S]"
+)
+
+
 def utf8_states(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, pos, b, left for any bytes, broken sequences included: a byte that should continue a sequence and
-    doesn't ends it and starts none itself. One ordered fold per row with ``aggregate``; intended for binary columns
-    whose validity is unknown (texts use :func:`continuation_left`)."""
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<struct<b:int,left:int>>").alias("out"))
+    doesn't ends it and starts none itself. The bytes are cut into sequences by a pattern, in one pass; intended for
+    binary columns whose validity is unknown (texts use :func:`continuation_left`)."""
+    latin = F.decode(F.coalesce(F.col(content).cast("binary"), F.lit(b"")), "ISO-8859-1")
+    found = F.regexp_extract_all(latin, F.lit(f"({_SEQUENCE})"), F.lit(1))
 
-    def step(state: Column, char: Column) -> Column:
-        b = code(char)
-        lead = F.when(b >= 248, 0).when(b >= 240, 3).when(b >= 224, 2).when(b >= 192, 1).otherwise(0)
-        left = F.when(state["left"] > 0, F.when(b.between(128, 191), state["left"] - 1).otherwise(0)).otherwise(lead).cast("int")
-        return F.struct(left.alias("left"), F.array_append(state["out"], F.struct(b.cast("int").alias("b"), left.alias("left"))).alias("out"))
+    def states(sequence: Column) -> Column:
+        lead = code(F.substring(sequence, 1, 1))
+        wanted = F.when(lead >= 248, 0).when(lead >= 240, 3).when(lead >= 224, 2).when(lead >= 192, 1).otherwise(0)
 
-    folded = F.aggregate(byte_chars(F.col(content)), start, step)["out"]
-    return df.select(*keep, F.posexplode(folded).alias("pos", "z")).select(*keep, "pos", "z.b", "z.left")
+        def state(char: Column, i: Column) -> Column:
+            b = code(char)
+            left = F.when(i == 0, wanted).when(b.between(128, 191), wanted - i).otherwise(0)
+            return F.struct(b.cast("int").alias("b"), left.cast("int").alias("left"))
 
+        return F.transform(F.split(sequence, ""), state)
 
-def character_contexts(df: DataFrame, order: int, content: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
-    """``by``, context (the ``order`` characters before; shorter at the beginning of a text), next character, n."""
+    return df.select(*keep, F.posexplode(F.flatten(F.transform(found, states))).alias("pos", "z")).select(*keep, "pos", "z.b", "z.left")
+
+
+def character_grams(df: DataFrame, order: int, content: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, next, c1 .. c``order`` and n: how often each character follows the ones before it, null where a text has none
+    yet."""
     chars = F.split(F.coalesce(F.col(content), F.lit("")), "")
     split = df.where(F.length(content) > 0).select(*by, chars.alias("__a"))
-    none = F.lit(None).cast("string")
-    arrays = [F.col("__a").alias("c0"), *[F.concat(F.array(*[none] * k), F.col("__a")).alias(f"c{k}") for k in range(1, order + 1)]]
-    rows = split.select(*by, F.explode(F.arrays_zip(*arrays)).alias("z")).where(F.col("z.c0").isNotNull())
-    context = F.concat_ws("", *[F.col(f"z.c{k}") for k in range(order, 0, -1)])
-    return rows.groupBy(*by, context.alias("context"), F.col("z.c0").alias("next")).agg(F.count(F.lit(1)).alias("n"))
+    none, names = F.lit(None).cast("string"), [f"c{k}" for k in range(1, order + 1)]
+    arrays = [F.col("__a").alias("next"), *[F.concat(F.array(*[none] * k), F.col("__a")).alias(f"c{k}") for k in range(1, order + 1)]]
+    rows = split.select(*by, F.explode(F.arrays_zip(*arrays)).alias("z")).where(F.col("z.next").isNotNull())
+    return rows.groupBy(*by, *[F.col(f"z.{c}").alias(c) for c in ["next", *names]]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def character_contexts(df: DataFrame, order: int, content: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, context (the ``order`` characters before; shorter at the beginning of a text), next character, n."""
+    context = F.concat_ws("", *[F.col(f"c{k}") for k in range(order, 0, -1)])
+    return character_grams(df, order, content, by).select(*by, context.alias("context"), "next", "n")
 
 
 #: Runs of one token type: letters and digits, other ASCII, other characters.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x7F]+"
 
 
-def tokens(df: DataFrame, content: str = "text", keep: tuple[str, ...] = ("doc_id",), markers: tuple[str, ...] = ()) -> DataFrame:
-    """``keep``, ord, token, type: maximal runs of one type, cut after segment markers as well. Runs are found inside
-    each row, so segmentation needs no window. A marker is a token of its own, of type 3."""
+#: Characters and particles that begin a new segment in Chinese text, as UTF-8 in hexadecimal.
+SEGMENT_MARKERS = tuple(
+    bytes.fromhex(x).decode()
+    for x in (
+        "EFBC8C E79A84 E38082 E38081 EFBC88 EFBC89 E59CA8 E698AF E69C89 E5928C EFBC9A E782BA E4BBA5 E3808A E4BA86 E696BC E4B8BA "
+        "E794A8 E3808C E58F8A E8808C E588B0 E4BA8E E794B1 E8A2AB E88887 E4BBBB E59091 E5808B E2809C E887B3 E88085 E6ADA4 E585A5 "
+        "E4BD86 EFBC9B E4B88E E68896 E5A682 E5B087 E68BAC E4BA9B E4B894"
+    ).split()
+)
+
+
+def tokens(df: DataFrame, content: str = "text", keep: tuple[str, ...] = ("doc_id",), markers: tuple[str, ...] = SEGMENT_MARKERS) -> DataFrame:
+    """``keep``, ord, token, type: maximal runs of one type, cut before and after segment markers as well. Runs are found
+    inside each row, so segmentation needs no window. A marker is a token of its own, of type 3."""
     pattern = TOKEN_PATTERN
     if markers:
         listed = "|".join(markers)
@@ -79,18 +111,39 @@ def token_prefixes(rows: DataFrame, keep: tuple[str, ...] = ("doc_id", "ord")) -
     return spread.select(*keep, "type", "k", code(F.col("char")).alias("b"), F.array_join(F.slice("__all", F.lit(1), F.col("k")), "").alias("prefix"))
 
 
-def direct_keys(b: Column, c1: Column, left: Column, bpos: Column) -> list[Column]:
-    """Keys of the directly addressed orders 0 and 1; within a character the byte before is replaced by its state."""
-    c0 = F.call_function("shiftright", b + 256, 8 - bpos)
+def direct_keys(b: Column, c1: Column, left: Column, bpos: Column, character: Column) -> list[Column]:
+    """Keys of the directly addressed orders 0, 1 and 2. In order 1 the byte before is replaced by its state within a
+    character; order 2 is the character that the byte before belongs to (see :func:`character_prefix`)."""
+    c0 = F.call_function("shiftright", b + 256, 8 - bpos).cast("long")
     before = F.when(c1.between(128, 191), 128 + left).otherwise(c1)
-    return [c0 - 1, (c0 - 1) * 256 + before]
+    return [c0 - 1, (c0 - 1) * 256 + before, character * 256 + c0]
+
+
+def character_prefix(c1: Column, c2: Column, c3: Column, c4: Column) -> Column:
+    """The bytes of the character that the byte before belongs to, from its first to that byte, as a number."""
+    at = lambda c, k: c.cast("long") * (1 << 8 * k)
+    two, three = at(c2, 1) + c1, at(c3, 2) + at(c2, 1) + c1
+    inside = lambda c: c.between(128, 191)
+    return F.when(~inside(c1), c1.cast("long")).when(~inside(c2), two).when(~inside(c3), three).otherwise(at(c4, 3) + three)
+
+
+def miss_flags(misses: Column, bpos: Column) -> Column:
+    """Three flags of a miss register (the latest bit lowest): whether there is a miss in the bit just before a byte's
+    border, in the seven before that, in the eight before those; ``misses`` is read from the border of the last byte."""
+    shift = F.pmod(8 - bpos, F.lit(8)).cast("int")
+    aligned = F.call_function("shiftleft", misses, shift)
+    byte = F.call_function("shiftright", aligned.bitwiseAND(F.lit(255)), shift)
+    register = aligned.bitwiseAND(F.lit(~255)).bitwiseOR(byte)
+    flag = lambda mask, value: F.when(register.bitwiseAND(F.lit(mask)) != 0, value).otherwise(0)
+    return flag(0x1, 1) + flag(0xFE, 2) + flag(0xFF00, 4)
 
 
-def selectors(order: Column, kind: Column, bpos: Column, misses: Column, c0: Column, c1: Column, boundary: Column) -> list[Column]:
-    """Weight rows by (active orders, class, bit), (misses of late, class, partial byte), (orders, missed, boundary, byte)."""
-    late = misses.bitwiseAND(F.lit(7))
+def selectors(order: Column, kind: Column, bpos: Column, misses: Column, c0: Column, c1: Column, boundary: Column, confidence: Column) -> list[Column]:
+    """Weight rows by (active orders, class, bit), (misses of late, class, partial byte), (orders, any miss, boundary, byte)
+    and confidence. ``misses``: a register of at least 16 bits."""
     return [
         (order * 7 + kind) * 8 + bpos,
-        (late * 7 + kind) * 255 + c0 - 1,
-        order * 1024 + misses.bitwiseAND(F.lit(1)) * 512 + boundary * 256 + c1,
+        (miss_flags(misses, bpos) * 7 + kind) * 255 + c0 - 1,
+        order * 1024 + F.when(misses != 0, 512).otherwise(0) + boundary * 256 + c1,
+        confidence,
     ]

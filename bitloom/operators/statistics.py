@@ -1,4 +1,4 @@
-"""Statistics of contexts: entropies, runs, last bytes, occupancy, confidence, bit histories."""
+"""Statistics of contexts: entropies, runs, last bytes, confidence, bit histories."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import check_bits, hash_of, top_bits
-
 
 def conditional_entropy(counts: DataFrame, context: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """``by``, n_bytes, n_contexts, bits_per_byte, from byte counts. Totals of a context come from a grouped sum."""
@@ -58,6 +56,33 @@ def run_histogram(df: DataFrame, content: str = "text", cap: int = 255) -> DataF
     return found.groupBy("run").agg(F.sum("n").alias("n"))
 
 
+def last_runs(df: DataFrame, content: str = "text", keep: str = "doc_id", cap: int = 255) -> DataFrame:
+    """``keep``, c1, run, byte1, byte2, byte3: for each text and byte before, the state of :func:`run_rows` after its last
+    position. Found where a text is read, as in :func:`run_histogram`."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                b = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8).astype(np.int32)
+                if not len(b):
+                    continue
+                before = np.concatenate([[0], b[:-1]])
+                order = np.argsort(before, kind="stable")
+                context, byte = before[order], b[order]
+                heads = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(byte, prepend=-1) != 0))
+                run, context, byte = np.minimum(np.diff(heads, append=len(b)), cap), context[heads], byte[heads]
+                last = np.flatnonzero(np.diff(context, append=-1))
+                first = np.concatenate([[0], last[:-1] + 1])
+                older = [byte[np.where(last - k >= first, last - k, first)] for k in (1, 2)]
+                own = pa.array([batch.column(0)[i].as_py()] * len(last), batch.column(0).type)
+                columns = [context[last], run[last], byte[last], *older]
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c.astype(np.int32)) for c in columns)], names=[keep, "c1", "run", "byte1", "byte2", "byte3"])
+
+    kind = df.schema[keep].dataType.simpleString()
+    rows = df.select(keep, F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("c"))
+    return rows.mapInArrow(batches, f"`{keep}` {kind}, c1 int, run int, byte1 int, byte2 int, byte3 int")
+
+
 def confidence_digit(distinct: Column) -> Column:
     """0 unseen, 1 deterministic, 2 mixed, by the number of different successors."""
     return F.when(F.coalesce(distinct, F.lit(0)) == 0, 0).when(distinct == 1, 1).otherwise(2)
@@ -68,38 +93,30 @@ def confidence_code(digits: list[Column]) -> Column:
     return F.aggregate(F.array(*digits), F.lit(0), lambda a, d: a * 3 + d)
 
 
-def bucket_occupancy(contexts: DataFrame, columns: tuple[str, ...], bits: int = 16) -> DataFrame:
-    """n_used (contexts in a bucket), n_buckets, n_colliding (contexts that share index and checksum with another)."""
-    h = hash_of(*[F.col(c) for c in columns])
-    slots = contexts.select(top_bits(h, bits).alias("bucket"), check_bits(h, bits).alias("chk"))
-    per_slot = slots.groupBy("bucket", "chk").agg(F.count(F.lit(1)).alias("n"))
-    per = per_slot.groupBy("bucket").agg(F.sum("n").alias("n_used"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"))
-    return per.groupBy("n_used").agg(F.count(F.lit(1)).alias("n_buckets"), F.sum("shared").alias("n_colliding"))
-
-
-def bit_history(bits: DataFrame, keys: tuple[str, ...], order_col: str = "pos", limit: int = 40) -> DataFrame:
-    """``keys``, n0, n1: the bounded counts a history state stands for after all bits of a key in order. A bit raises its
-    own count up to ``limit``; when the other count is above 2, part of it is forgotten: it falls to 2 plus a
-    third of the rest. One ordered fold per key."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("y").alias("y"))))
+def history_fold(ys: Column, limit: int = 40) -> Column:
+    """struct(n0, n1): the bounded counts a history state stands for after an ordered array of bits. A bit raises its own
+    count up to ``limit``; when the other count is above 2, part of it is forgotten: it falls to 2 plus a third of the
+    rest."""
     start = F.struct(F.lit(0).alias("n0"), F.lit(0).alias("n1"))
 
     def faded(n: Column) -> Column:
         return F.when(n > 2, F.floor((n - 2) / 3).cast("int") + 2).otherwise(n)
 
-    def step(s: Column, e: Column) -> Column:
+    def step(s: Column, y: Column) -> Column:
         raised = lambda n: F.least(n + 1, F.lit(limit))
-        return F.when(e["y"] == 0, F.struct(raised(s["n0"]).alias("n0"), faded(s["n1"]).alias("n1"))).otherwise(
+        return F.when(y == 0, F.struct(raised(s["n0"]).alias("n0"), faded(s["n1"]).alias("n1"))).otherwise(
             F.struct(faded(s["n0"]).alias("n0"), raised(s["n1"]).alias("n1"))
         )
 
-    grouped = bits.groupBy(*keys).agg(ordered.alias("__bits"))
-    return grouped.select(*keys, F.aggregate("__bits", start, step).alias("s")).select(*keys, "s.n0", "s.n1")
+    return F.aggregate(ys, start, step)
 
 
-def eviction_rank(n0: Column, n1: Column) -> Column:
-    """How much a history is worth keeping: its larger count, doubled while the other is zero."""
-    return F.when(F.least(n0, n1) == 0, F.greatest(n0, n1) * 2).otherwise(F.greatest(n0, n1))
+def bit_history(bits: DataFrame, keys: tuple[str, ...], order_col: str = "pos", limit: int = 40) -> DataFrame:
+    """``keys``, n0, n1 after all bits of a key in order: one ordered fold per key, whose bits are gathered in one row
+    (texts use ``bytestream.bit_streams``, which needs no shuffle)."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("y").alias("y"))))
+    grouped = bits.groupBy(*keys).agg(F.transform(ordered, lambda e: e["y"]).alias("__bits"))
+    return grouped.select(*keys, history_fold(F.col("__bits"), limit).alias("s")).select(*keys, "s.n0", "s.n1")
 
 
 def active_orders(seen: list[Column]) -> Column:

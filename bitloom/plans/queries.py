@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
 from ..operators import codec, contexts, mixing, probability, statistics, verify
-from ..operators.bytestream import bit_counts, byte_counts, to_bits, to_bytes
+from ..operators.bytestream import bit_counts, bit_positions, bit_streams, byte_counts
 from ..shared import shared_path
 from ..streaming import incremental
 
@@ -27,7 +27,8 @@ WITH h AS (SELECT doc_id, lang, regexp_extract_all(hex(encode(text)), '..') AS h
 raw AS (SELECT doc_id, lang, unnest(h) AS hx, generate_subscripts(h, 1) - 1 AS pos FROM h),
 val AS (SELECT doc_id, lang, pos, CAST('0x' || hx AS INTEGER) AS b FROM raw),
 bytes AS (
-  SELECT *, coalesce(lag(b, 1) OVER w, 0) AS c1, coalesce(lag(b, 2) OVER w, 0) AS c2, coalesce(lag(b, 3) OVER w, 0) AS c3
+  SELECT *, coalesce(lag(b, 1) OVER w, 0) AS c1, coalesce(lag(b, 2) OVER w, 0) AS c2, coalesce(lag(b, 3) OVER w, 0) AS c3,
+         coalesce(lag(b, 4) OVER w, 0) AS c4
   FROM val WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 )
 """
@@ -114,10 +115,13 @@ order0_entropy, order1_entropy, order2_entropy = _entropy(0), _entropy(1), _entr
 
 
 def character_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct contexts of the last 1 to 7 characters, and how many have one successor only."""
-    docs, parts = _documents(spark, sf_dir), []
-    for order in range(1, 8):
-        per = contexts.character_contexts(docs, order).groupBy("context").agg(F.count(F.lit(1)).alias("successors"), F.sum("n").alias("n"))
+    """Distinct contexts of the last 1 to 7 characters, and how many have one successor only. The texts are read for the
+    longest contexts; the counts of each order are sums of those of the next one."""
+    counts, parts = contexts.character_grams(_documents(spark, sf_dir), 7), []
+    for order in range(7, 0, -1):
+        keys = [f"c{k}" for k in range(1, order + 1)]
+        counts = counts.groupBy(*keys, "next").agg(F.sum("n").alias("n")) if order < 7 else counts
+        per = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("successors"), F.sum("n").alias("n"))
         parts.append(
             per.agg(
                 F.lit(order).alias("k"), F.count(F.lit(1)).alias("n_contexts"),
@@ -153,11 +157,14 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("type", F.octet_length("token").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_TOKENS = """
+_MARKERS = "|".join(contexts.SEGMENT_MARKERS)
+_TOKENS = f"""
 WITH t AS (
-  SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[^\\x00-\\x7F]+')) AS token FROM documents
+  SELECT unnest(regexp_extract_all(replace(regexp_replace(text, '({_MARKERS})', chr(1) || '\\1' || chr(1), 'g'), chr(1) || chr(1), chr(1)),
+    '[A-Za-z0-9]+|[\\x00\\x02-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[^\\x00-\\x7F]+')) AS token FROM documents
 ), k AS (
-  SELECT token, CASE WHEN regexp_matches(token, '^[A-Za-z0-9]') THEN 0 WHEN regexp_matches(token, '^[\\x00-\\x7F]') THEN 1 ELSE 2 END AS type
+  SELECT token, CASE WHEN regexp_full_match(token, '{_MARKERS}') THEN 3 WHEN regexp_matches(token, '^[A-Za-z0-9]') THEN 0
+    WHEN regexp_matches(token, '^[\\x00-\\x7F]') THEN 1 ELSE 2 END AS type
   FROM t
 )
 """
@@ -191,15 +198,14 @@ SELECT CAST(run AS INTEGER) AS run, count(*) AS n FROM g GROUP BY 1
 
 
 def adaptive_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits that the adaptive estimate spends on the corpus as one stream, by order of its byte contexts."""
-    docs, parts = _documents(spark, sf_dir), []
-    for order in range(3):
-        keys = tuple(f"c{k}" for k in range(1, order + 1))
-        nodes = bit_counts(byte_counts(docs, order), by=keys)
-        spent = nodes.select(probability.total_bits(F.col("n0"), F.col("n1")).alias("bits"), (F.col("n0") + F.col("n1")).alias("n"))
-        total = spent.agg(F.round(F.sum("bits"), 1).alias("bits"), F.sum("n").alias("n_bits"))
-        parts.append(total.select(F.lit(order).alias("context_order"), "bits", "n_bits"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Bits that the adaptive estimate spends on the corpus as one stream, by order of its byte contexts. The counts of
+    order 2 are the only ones that the texts are read for; those of lower orders are sums of them."""
+    counts, none = byte_counts(_documents(spark, sf_dir), 2), F.lit(0)
+    orders = [F.struct(F.lit(k).alias("context_order"), *[(F.col(f"c{j}") if j <= k else none).alias(f"k{j}") for j in (1, 2)]) for k in range(3)]
+    spread = counts.select("b", "n", F.explode(F.array(*orders)).alias("o")).groupBy("o.context_order", "o.k1", "o.k2", "b").agg(F.sum("n").alias("n"))
+    nodes = bit_counts(spread, by=("context_order", "k1", "k2"))
+    spent = nodes.select("context_order", probability.total_bits(F.col("n0"), F.col("n1")).alias("bits"), (F.col("n0") + F.col("n1")).alias("n"))
+    return spent.groupBy("context_order").agg(F.round(F.sum("bits"), 1).alias("bits"), F.sum("n").alias("n_bits"))
 
 
 def _code_length_sql() -> str:
@@ -215,27 +221,34 @@ def _code_length_sql() -> str:
 
 
 def context_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How a hashed table of 2^12 buckets would fill with the distinct contexts of two bytes."""
-    distinct = byte_counts(_documents(spark, sf_dir), 2).select("c1", "c2").distinct()
-    return statistics.bucket_occupancy(distinct, ("c1", "c2"), bits=12)
+    """What the contexts of one to three bytes take up: how many there are, how many were met once, in how many the next
+    byte was always the same, and the positions that they share."""
+    counts, none = byte_counts(_documents(spark, sf_dir), 3), F.lit(0)
+    orders = [F.struct(F.lit(k).alias("context_order"), *[(F.col(f"c{j}") if j <= k else none).alias(f"k{j}") for j in (1, 2, 3)]) for k in (1, 2, 3)]
+    spread = counts.select("b", "n", F.explode(F.array(*orders)).alias("o")).groupBy("o.context_order", "o.k1", "o.k2", "o.k3", "b").agg(F.sum("n").alias("n"))
+    per = spread.groupBy("context_order", "k1", "k2", "k3").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("successors"))
+    met = lambda c: F.sum(c.cast("long"))
+    return per.groupBy("context_order").agg(
+        F.count(F.lit(1)).alias("n_contexts"), met(F.col("n") == 1).alias("n_once"), met(F.col("successors") == 1).alias("n_deterministic"),
+        F.sum("n").alias("n_positions"),
+    )
 
 
-CONTEXT_OCCUPANCY = _BYTES + f""", d AS (SELECT DISTINCT c1, c2 FROM bytes),
-hashed AS (SELECT xor(CAST(((c1 + 1)::UHUGEINT * {scalars.GOLDEN}) % 18446744073709551616 AS UBIGINT),
-                 CAST(((c2 + 1)::UHUGEINT * {scalars.GOLDEN * 3 % (1 << 64) | 1}) % 18446744073709551616 AS UBIGINT)) AS h FROM d),
-s AS (SELECT h >> 52 AS bucket, (h >> 36) & 65535 AS chk, count(*) AS n FROM hashed GROUP BY ALL),
-p AS (SELECT bucket, sum(n) AS n_used, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS shared FROM s GROUP BY bucket)
-SELECT CAST(n_used AS BIGINT) AS n_used, count(*) AS n_buckets, CAST(sum(shared) AS BIGINT) AS n_colliding FROM p GROUP BY n_used
-"""
+CONTEXT_OCCUPANCY = _BYTES + ", cnt AS (SELECT c1, c2, c3, b, count(*) AS n FROM bytes GROUP BY ALL)\n" + "\nUNION ALL\n".join(
+    f"""SELECT {k} AS context_order, count(*) AS n_contexts, count(*) FILTER (n = 1) AS n_once,
+       count(*) FILTER (successors = 1) AS n_deterministic, CAST(sum(n) AS BIGINT) AS n_positions
+FROM (SELECT {keys}, sum(n) AS n, count(DISTINCT b) AS successors FROM cnt GROUP BY {keys})"""
+    for k, keys in ((1, "c1"), (2, "c1, c2"), (3, "c1, c2, c3"))
+)
 
 
 def confidence_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each distinct context of three bytes: is the next byte certain from one, two or three of them?"""
-    counts = byte_counts(_documents(spark, sf_dir), 3)
-    seen = {}
-    for order in (1, 2, 3):
+    distinct, seen = byte_counts(_documents(spark, sf_dir), 3).select("c1", "c2", "c3", "b"), {}
+    for order in (3, 2, 1):  # each order's pairs are made of the next one's
         keys = [f"c{k}" for k in range(1, order + 1)]
-        seen[order] = counts.groupBy(*keys).agg(F.count_distinct("b").alias(f"s{order}"))
+        distinct = distinct.select(*keys, "b").distinct() if order < 3 else distinct
+        seen[order] = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"s{order}"))
     joined = seen[3].join(seen[2], ["c1", "c2"]).join(seen[1], ["c1"])
     code = statistics.confidence_code([statistics.confidence_digit(F.col(f"s{k}")) for k in (1, 2, 3)])
     return joined.groupBy(code.alias("confidence")).agg(F.count(F.lit(1)).alias("n_contexts"))
@@ -252,21 +265,27 @@ FROM s3 JOIN s2 USING (c1, c2) JOIN s1 USING (c1) GROUP BY 1
 
 
 def direct_context_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Use of the directly addressed tables of orders 0 and 1: distinct keys and bits."""
-    counts = byte_counts(_documents(spark, sf_dir), 3)
+    """Use of the directly addressed tables of orders 0, 1 and 2: distinct keys and bits."""
+    counts = byte_counts(_documents(spark, sf_dir), 4)
     left = contexts.continuation_left(F.col("c1"), F.col("c2"), F.col("c3"), F.lit(0))
-    nodes = counts.select("b", "c1", left.alias("left"), "n").withColumn("bpos", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    keys = contexts.direct_keys(F.col("b"), F.col("c1"), F.col("left"), F.col("bpos"))
+    character = contexts.character_prefix(*[F.col(f"c{k}") for k in (1, 2, 3, 4)])
+    known = counts.select("b", "c1", left.alias("left"), character.alias("chr"), "n").groupBy("b", "c1", "left", "chr").agg(F.sum("n").alias("n"))
+    nodes = known.withColumn("bpos", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    keys = contexts.direct_keys(F.col("b"), F.col("c1"), F.col("left"), F.col("bpos"), F.col("chr"))
     rows = nodes.select(F.explode(F.array(*[F.struct(F.lit(k).alias("context_order"), x.alias("key")) for k, x in enumerate(keys)])).alias("k"), "n")
     per = rows.groupBy("k.context_order", "k.key").agg(F.sum("n").alias("n"))
     return per.groupBy("context_order").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_bits"))
 
 
-DIRECT_CONTEXT_KEYS = _BYTES + """, l AS (
-  SELECT b, CASE WHEN c1 BETWEEN 128 AND 191 THEN 128 + greatest(0, CASE WHEN c2 >= 240 THEN 2 WHEN c2 >= 224 THEN 1 WHEN c2 >= 192 THEN 0
-         WHEN c3 >= 240 THEN 1 ELSE 0 END) ELSE c1 END AS before, count(*) AS n FROM bytes GROUP BY ALL
-), k AS (SELECT ((b + 256) >> (8 - k)) - 1 AS key0, before, n FROM l, (SELECT unnest(range(8)) AS k)),
-u AS (SELECT 0 AS context_order, key0 AS key, n FROM k UNION ALL SELECT 1, key0 * 256 + before, n FROM k)
+_STATE = """CASE WHEN c1 BETWEEN 128 AND 191 THEN 128 + greatest(0, CASE WHEN c2 >= 240 THEN 2 WHEN c2 >= 224 THEN 1 WHEN c2 >= 192 THEN 0
+         WHEN c3 >= 240 THEN 1 ELSE 0 END) ELSE c1 END"""
+_CHARACTER = """CASE WHEN c1 NOT BETWEEN 128 AND 191 THEN CAST(c1 AS BIGINT) WHEN c2 NOT BETWEEN 128 AND 191 THEN c2 * 256::BIGINT + c1
+         WHEN c3 NOT BETWEEN 128 AND 191 THEN c3 * 65536::BIGINT + c2 * 256 + c1
+         ELSE c4 * 16777216::BIGINT + c3 * 65536 + c2 * 256 + c1 END"""
+DIRECT_CONTEXT_KEYS = _BYTES + f""", l AS (SELECT b, {_STATE} AS before, {_CHARACTER} AS chr, count(*) AS n FROM bytes GROUP BY ALL),
+k AS (SELECT ((b + 256) >> (8 - k)) - 1 AS key0, before, chr, n FROM l, (SELECT unnest(range(8)) AS k)),
+u AS (SELECT 0 AS context_order, CAST(key0 AS BIGINT) AS key, n FROM k UNION ALL SELECT 1, key0 * 256 + before, n FROM k
+      UNION ALL SELECT 2, chr * 256 + key0 + 1, n FROM k)
 SELECT context_order, count(DISTINCT key) AS n_keys, CAST(sum(n) AS BIGINT) AS n_bits FROM u GROUP BY context_order
 """
 
@@ -374,40 +393,84 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
     archives = codec.compress(items, key="item_id")
     checked = verify.verify(codec.extract(archives, key="item_id"), items, key="item_id")
-    sizes = archives.select("item_id", "n_bytes", F.octet_length("archive").cast("long").alias("n_archive"))
-    return checked.join(sizes, "item_id")
+    return checked.join(archives.select("item_id", "n_bytes"), "item_id")
 
 
-def _document_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_bits(to_bytes(table(spark, sf_dir, "documents"), keep=("doc_id",), history=1))
+CODEC_ROUNDTRIP = """
+SELECT item_id, 'identical' AS verdict, CAST(NULL AS BIGINT) AS first_diff, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM benchmark
+"""
+
+_BITS = _BYTES + """, bits AS (
+  SELECT doc_id, pos, k AS bpos, c1, c2, c3, c4, (b + 256) >> (8 - k) AS c0, (b >> (7 - k)) & 1 AS y FROM bytes, (SELECT unnest(range(8)) AS k)
+)"""
 
 
 def bit_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded history counts and capped estimates of each document's partial bytes, summed over documents by partial
     byte."""
-    bits = _document_bits(spark, sf_dir)
-    states = statistics.bit_history(bits, ("doc_id", "c0"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "y"))), lambda x: x["y"])
-    capped = bits.groupBy("doc_id", "c0").agg(F.count(F.lit(1)).alias("n"), ordered.alias("ys")).select(
-        "doc_id", "c0", "n", probability.capped_fold(F.col("ys"), 4).alias("m")
+    streams = bit_streams(_documents(spark, sf_dir))
+    folded = streams.select(
+        "c0", F.size("ys").alias("n"), statistics.history_fold(F.col("ys")).alias("s"), probability.capped_fold(F.col("ys"), 4).alias("m")
     )
     total = lambda c: F.sum(c).cast("long")
-    return states.join(capped, ["doc_id", "c0"]).groupBy("c0").agg(
-        F.count(F.lit(1)).alias("n_docs"), total("n").alias("n_bits"), total("n0").alias("n0"), total("n1").alias("n1"),
-        total(statistics.eviction_rank(F.col("n0"), F.col("n1"))).alias("rank"), total("m.p").alias("p22"), total("m.n").alias("seen"),
+    return folded.groupBy("c0").agg(
+        F.count(F.lit(1)).alias("n_docs"), total("n").alias("n_bits"), total("s.n0").alias("n0"), total("s.n1").alias("n1"),
+        total("m.p").alias("p22"), total("m.n").alias("seen"),
     )
 
 
+_FADED = "CASE WHEN s.{0} > 2 THEN (s.{0} - 2) // 3 + 2 ELSE s.{0} END"
+_HISTORY = f"""list_reduce(list_transform(ys, lambda y: {{'n0': 0, 'n1': 0, 'y': y}}), lambda s, e: CASE WHEN e.y = 0
+    THEN {{'n0': least(s.n0 + 1, 40), 'n1': {_FADED.format('n1')}, 'y': 0}} ELSE {{'n0': {_FADED.format('n0')}, 'n1': least(s.n1 + 1, 40), 'y': 1}} END,
+    {{'n0': 0, 'n1': 0, 'y': 0}})"""
+
+
+def _capped_sql(limit: int) -> str:
+    return f"""list_reduce(list_transform(ys, lambda y: {{'p': 0::BIGINT, 'n': 0::BIGINT, 'y': y::BIGINT}}), lambda s, e:
+    {{'p': s.p + ((((e.y * 4194304 - s.p) >> 3) * (16384 // (2 * s.n + 3))) >> 10), 'n': least(s.n + 1, {limit}), 'y': e.y}},
+    {{'p': 2097152::BIGINT, 'n': 0::BIGINT, 'y': 0::BIGINT}})"""
+
+
+BIT_HISTORIES = _BITS + f""", s AS (SELECT doc_id, c0, list(y ORDER BY pos) AS ys FROM bits GROUP BY ALL),
+f AS (SELECT c0, len(ys) AS n, {_HISTORY} AS s, {_capped_sql(4)} AS m FROM s)
+SELECT CAST(c0 AS INTEGER) AS c0, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_bits, CAST(sum(s.n0) AS BIGINT) AS n0, CAST(sum(s.n1) AS BIGINT) AS n1,
+       CAST(sum(m.p) AS BIGINT) AS p22, CAST(sum(m.n) AS BIGINT) AS seen FROM f GROUP BY f.c0
+"""
+
+_ESTIMATES = (("none", 4, "0"), ("byte", 32, _STATE), ("character", 1023, _CHARACTER))
+
+
+def capped_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three direct estimates with their caps, in each document: order 0 (4), the byte before (32), the character before
+    (1023). Keys, bits and the sums of last estimates and counts."""
+    out, total = None, lambda c: F.sum(c).cast("long")
+    for order, (context, limit, _) in enumerate(_ESTIMATES):
+        streams = bit_streams(_documents(spark, sf_dir), context)
+        folded = streams.select(F.size("ys").alias("n"), probability.capped_fold(F.col("ys"), limit).alias("m"))
+        sums = folded.agg(F.count(F.lit(1)).alias("n_keys"), total("n").alias("n_bits"), total("m.p").alias("p22"), total("m.n").alias("seen"))
+        part = sums.select(F.lit(order).alias("context_order"), *sums.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+CAPPED_ESTIMATES = _BITS + "\nUNION ALL\n".join(
+    f"""{'' if order else ' '}SELECT {order} AS context_order, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_bits, CAST(sum(m.p) AS BIGINT) AS p22,
+       CAST(sum(m.n) AS BIGINT) AS seen FROM (SELECT len(ys) AS n, {_capped_sql(limit)} AS m FROM (
+       SELECT doc_id, {context} AS ctx, c0, list(y ORDER BY pos) AS ys FROM bits GROUP BY ALL))"""
+    for order, (_, limit, context) in enumerate(_ESTIMATES)
+)
+
+
 def mixed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mixing step for each bit of the documents: two orders' estimates, equal weights, the error and the trained
     weights' sum; sums for each document."""
-    bits = _document_bits(spark, sf_dir)
-    estimated = probability.prequential(bits, ("doc_id", "c0"), ("pos",)).withColumnRenamed("p1", "p_order0")
-    estimated = probability.prequential(estimated, ("doc_id", "c1", "c0"), ("pos",)).withColumnRenamed("p1", "p_order1")
-    p12 = [F.greatest(F.lit(1), F.least(F.lit(4095), F.round(F.col(c) * 4096).cast("int"))) for c in ("p_order0", "p_order1")]
-    inputs = F.array(*[x for p in p12 for x in probability.direct_inputs(p)], F.lit(256))
+    bits = bit_positions(_documents(spark, sf_dir).select("doc_id", "text"), ("none", "raw"))
+    p = [probability.adaptive_p(F.col(f"n_{k}") - F.col(f"ones_{k}"), F.col(f"ones_{k}")) for k in (0, 1)]
+    p12 = [F.greatest(F.lit(1), F.least(F.lit(4095), F.round(x * 4096).cast("int"))) for x in p]
+    rows = bits.select("doc_id", "y", p12[0].alias("p_0"), p12[1].alias("p_1"))
+    inputs = F.array(*[x for k in (0, 1) for x in probability.direct_inputs(F.col(f"p_{k}"))], F.lit(256))
     weights = F.array(*[F.lit(16384)] * 5)
-    rows = estimated.select("doc_id", "pos", "bpos", "y", inputs.alias("x"), weights.alias("w"))
+    rows = rows.select("doc_id", "y", inputs.alias("x"), weights.alias("w"))
     rows = rows.withColumn("p", mixing.mix(F.col("x"), [F.col("w")], F.array(F.lit(16384))))
     rows = rows.withColumn("error", mixing.error_of(F.col("y"), F.col("p"), F.lit(6 * 65536)))
     trained = F.aggregate(mixing.train(F.col("x"), F.col("w"), F.col("error")), F.lit(0), lambda a, v: a + v)
@@ -418,12 +481,96 @@ def mixed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STRETCH = "CAST(greatest(-2047, least(2047, round(256 * ln((p_{0} / 4096.0) / (1 - p_{0} / 4096.0))))) AS INTEGER)"
+_WEIGHT = "greatest(-32768, least(32767, 16384 + ((((x{0} * error * 2) >> 16) + 1) >> 1)))"
+MIXED_PREDICTIONS = _BITS + """, w AS (
+  SELECT doc_id, y, count(*) OVER a AS n_0, coalesce(sum(y) OVER a, 0) AS ones_0, count(*) OVER b AS n_1, coalesce(sum(y) OVER b, 0) AS ones_1 FROM bits
+  WINDOW a AS (PARTITION BY doc_id, c0 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         b AS (PARTITION BY doc_id, c1, c0 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), p AS (
+  SELECT doc_id, y, CAST(greatest(1, least(4095, round((ones_0 + 0.25::DOUBLE) / (n_0 + 0.5::DOUBLE) * 4096))) AS INTEGER) AS p_0,
+         CAST(greatest(1, least(4095, round((ones_1 + 0.25::DOUBLE) / (n_1 + 0.5::DOUBLE) * 4096))) AS INTEGER) AS p_1 FROM w
+), x AS (
+  SELECT doc_id, y, ((p_0 - 2048) >> 2)::BIGINT AS x1, (%s >> 1)::BIGINT AS x2, ((p_1 - 2048) >> 2)::BIGINT AS x3, (%s >> 1)::BIGINT AS x4, 256::BIGINT AS x5 FROM p
+), o AS (
+  SELECT *, greatest(-2047, least(2047, ((((x1 + x2) * 16384) >> 8) + (((x3 + x4) * 16384) >> 8) + ((x5 * 16384) >> 8)) * 1150 >> 16)) AS opinion FROM x
+), l AS (
+  SELECT *, (((opinion * 16384) >> 8) * 240) >> 16 AS d FROM o
+), e AS (
+  SELECT *, CASE WHEN d > 2047 THEN 4095 WHEN d < -2047 THEN 1 ELSE CAST(greatest(1, least(4095, round(4096 / (1 + exp(-d / 256.0))))) AS INTEGER) END AS p FROM l
+), r AS (SELECT *, ((y * 4096 - p)::BIGINT * 393216) >> 16 AS error FROM e)
+SELECT doc_id, count(*) AS n_bits, CAST(sum(y) AS BIGINT) AS n_ones, CAST(sum(p) AS BIGINT) AS p_sum, CAST(sum(error) AS BIGINT) AS error_sum,
+       CAST(sum(abs(error)) AS BIGINT) AS distance_sum, CAST(sum(%s) AS BIGINT) AS weight_sum FROM r GROUP BY doc_id
+""" % (_STRETCH.format(0), _STRETCH.format(1), " + ".join(_WEIGHT.format(k) for k in range(1, 6)))
+
+
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document's contexts of one byte end with: the run of the last byte, and the last three different bytes;
+    counts and sums by the run's length."""
+    last = statistics.last_runs(_documents(spark, sf_dir))
+    total = lambda c: F.sum(c).cast("long")
+    return last.groupBy("run").agg(F.count(F.lit(1)).alias("n_contexts"), *[total(f"byte{k}").alias(f"sum_byte{k}") for k in (1, 2, 3)])
+
+
+RUN_STATES = _BYTES + """, r AS (
+  SELECT doc_id, c1, b, pos, row_number() OVER (PARTITION BY doc_id, c1 ORDER BY pos)
+         - row_number() OVER (PARTITION BY doc_id, c1, b ORDER BY pos) AS island FROM bytes
+), g AS (SELECT doc_id, c1, b, least(count(*), 255) AS run, min(pos) AS begins FROM r GROUP BY doc_id, c1, b, island),
+n AS (
+  SELECT doc_id, c1, run, b AS byte1, lag(b, 1, first) OVER v AS byte2, lag(b, 2, first) OVER v AS byte3,
+         row_number() OVER (PARTITION BY doc_id, c1 ORDER BY begins DESC) AS back
+  FROM (SELECT *, first_value(b) OVER (PARTITION BY doc_id, c1 ORDER BY begins) AS first FROM g) WINDOW v AS (PARTITION BY doc_id, c1 ORDER BY begins)
+)
+SELECT CAST(run AS INTEGER) AS run, count(*) AS n_contexts, CAST(sum(byte1) AS BIGINT) AS sum_byte1, CAST(sum(byte2) AS BIGINT) AS sum_byte2,
+       CAST(sum(byte3) AS BIGINT) AS sum_byte3 FROM n WHERE back = 1 GROUP BY 1
+"""
+
+
+def active_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many positions of the documents how many of the contexts of one, two and three bytes were met before in the
+    same document. A context that was met before was met with every shorter one, so the counts follow from the numbers
+    of distinct contexts and no position is visited twice."""
+    counts, keys = byte_counts(_documents(spark, sf_dir), 3, by=("doc_id",)), ["doc_id", "c1", "c2", "c3"]
+    contexts_of = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    fewer, sums = contexts_of, []
+    for order in (3, 2, 1):
+        fewer = fewer.groupBy(*keys[: order + 1]).agg(F.sum("n").alias("n"))
+        sums.append(fewer.agg(F.lit(order).alias("k"), F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    met = sums[0].unionByName(sums[1]).unionByName(sums[2]).select("k", (F.col("n") - F.col("d")).alias("met"), "n")
+    one = met.agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("met"))).alias(f"m{k}") for k in (1, 2, 3)])
+    exactly = [F.col("n") - F.col("m1"), F.col("m1") - F.col("m2"), F.col("m2") - F.col("m3"), F.col("m3")]
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("active"), x.alias("n_positions")) for k, x in enumerate(exactly)])).alias("r"))
+    return rows.select("r.active", "r.n_positions")
+
+
+ACTIVE_ORDERS = _BYTES + """, f AS (
+  SELECT CASE WHEN row_number() OVER (PARTITION BY doc_id, c1 ORDER BY pos) > 1 THEN 1 ELSE 0 END
+       + CASE WHEN row_number() OVER (PARTITION BY doc_id, c1, c2 ORDER BY pos) > 1 THEN 1 ELSE 0 END
+       + CASE WHEN row_number() OVER (PARTITION BY doc_id, c1, c2, c3 ORDER BY pos) > 1 THEN 1 ELSE 0 END AS active FROM bytes
+)
+SELECT k.active, count(f.active) AS n_positions FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS active) k LEFT JOIN f ON f.active = k.active GROUP BY k.active
+"""
+
+
+def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, their bytes and distinct tokens by type, segment markers among them."""
+    found = contexts.tokens(_documents(spark, sf_dir), keep=()).groupBy("token", "type").agg(F.count(F.lit(1)).alias("n"))
+    size = F.sum(F.octet_length("token") * F.col("n"))
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_tokens"), size.alias("n_bytes"))
+
+
+TOKEN_TYPES = _TOKENS + """
+SELECT type, count(DISTINCT token) AS n_distinct, count(*) AS n_tokens, CAST(sum(strlen(token)) AS BIGINT) AS n_bytes FROM k GROUP BY type
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         byte_histogram, bit_node_counts, bit_stretch, byte_class_counts, character_contexts, token_lengths, token_prefixes, run_lengths,
         adaptive_code_length, context_occupancy, confidence_codes, direct_context_keys, length_codes, version_differences, page_paths,
         corpus_totals, stream_property_bytes, stream_daily_events, codec_roundtrip, bit_histories, mixed_predictions,
+        capped_estimates, run_states, active_orders, token_types,
     )
 } | {"order0_entropy": order0_entropy, "order1_entropy": order1_entropy, "order2_entropy": order2_entropy}
 
@@ -446,4 +593,11 @@ ORACLES: dict[str, str] = {
     "corpus_totals": CORPUS_TOTALS,
     "stream_property_bytes": STREAM_PROPERTY_BYTES,
     "stream_daily_events": STREAM_DAILY_EVENTS,
+    "codec_roundtrip": CODEC_ROUNDTRIP,
+    "bit_histories": BIT_HISTORIES,
+    "mixed_predictions": MIXED_PREDICTIONS,
+    "capped_estimates": CAPPED_ESTIMATES,
+    "run_states": RUN_STATES,
+    "active_orders": ACTIVE_ORDERS,
+    "token_types": TOKEN_TYPES,
 } | {f"order{k}_entropy": _entropy_sql(k) for k in range(3)}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import codec, contexts, mixing, probability, statistics, verify
-from bitloom.operators.bytestream import bit_counts, byte_counts, to_bits, to_bytes
+from bitloom.operators.bytestream import bit_counts, bit_positions, bit_streams, byte_counts, to_bits, to_bytes
 from bitloom.sources import archives
 
 TEXTS = {1: "", 2: None, 3: "a", 4: "aab abc", 5: "zero\x00 é漢😀é", 6: "12ab,,  漢字x", 7: "q" * 300}
@@ -37,6 +37,52 @@ def test_bit_rows_and_counts_agree(docs):
             assert n0 == sum(nodes.get(2 * c, (0, 0))) and n1 == sum(nodes.get(2 * c + 1, (0, 0)))
 
 
+def test_counts_in_spans_agree_with_rows(docs, monkeypatch):
+    from bitloom.operators import bytestream
+
+    for order in range(5):
+        for by in ((), ("doc_id",)):
+            keys = [*by, "b", *(f"c{k}" for k in range(1, order + 1))]
+            expected = Counter()
+            for i, t in TEXTS.items():
+                d = data(t)
+                expected.update((*((i,) if by else ()), d[p], *(d[p - k] if p >= k else 0 for k in range(1, order + 1))) for p in range(len(d)))
+            for span in (1 << 22, 7):
+                monkeypatch.setattr(bytestream, "_SPAN", span)
+                rows = byte_counts(docs, order, by=by).collect()
+                assert {tuple(r[k] for k in keys): r.n for r in rows} == expected and len(rows) == len(expected)
+    assert byte_counts(docs.limit(0), 2).count() == 0
+
+
+def test_bit_streams_and_positions_follow_the_text(docs):
+    streams = {(r.doc_id, r.ctx, r.c0): r.ys for r in bit_streams(docs, "raw").collect()}
+    expected = defaultdict(list)
+    before = []
+    for i, t in TEXTS.items():
+        d, seen = data(t), defaultdict(list)
+        for p, b in enumerate(d):
+            for k in range(8):
+                key = (i, d[p - 1] if p else 0, (b | 256) >> (8 - k))
+                y = b >> (7 - k) & 1
+                before.append((i, y, len(seen[key]), sum(seen[key])))
+                seen[key].append(y)
+                expected[key].append(y)
+    assert streams == expected
+    rows = bit_positions(docs, ("raw",)).collect()
+    assert Counter((r.doc_id, r.y, r.n_0, r.ones_0) for r in rows) == Counter(before)
+
+
+def test_character_prefixes(spark):
+    text = "aé漢😀z"
+    d = text.encode()
+    found = {r.ctx for r in bit_streams(spark.createDataFrame([(1, text)], "doc_id int, text string"), "character").collect()}
+    ends, parts = [], []
+    for char in text:
+        parts += [char.encode()[: n + 1] for n in range(len(char.encode()))]
+        ends.append(char)
+    assert found == {0} | {int.from_bytes(x, "big") for x in parts[:-1]} and len(parts) == len(d)
+
+
 def left_of(d):
     left, out = 0, []
     for b in d:
@@ -53,6 +99,8 @@ def test_utf8_states(spark, docs):
     assert {(r.doc_id, r.pos): r.left for r in rows} == {(i, p): x for i, t in TEXTS.items() for p, x in enumerate(left_of(data(t)))}
     broken = [b"", b"\xe6\xbc", b"\xc3\xc3\xa9a", b"\x80\x80", b"\xf0\x9f\x98\x80\xff", bytes(range(256))]
     frame = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(broken)], "doc_id int, content binary")
+    broken.append(bytes(random.Random(5).choices([0x41, 0x80, 0xBF, 0xC3, 0xE6, 0xF0, 0xF8, 0xFF], k=3000)))
+    frame = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(broken)], "doc_id int, content binary")
     states = {(r.doc_id, r.pos): r.left for r in contexts.utf8_states(frame).collect()}
     assert states == {(i, p): x for i, c in enumerate(broken) for p, x in enumerate(left_of(c))}
 
@@ -91,6 +139,36 @@ def test_runs(spark):
     assert histogram == {1: 5, 2: 3, 255: 1}
 
 
+def test_last_runs_are_the_last_run_rows(docs):
+    rows = statistics.run_rows(to_bytes(docs, history=1), ("c1",)).collect()
+    last = {}
+    for r in sorted(rows, key=lambda r: r.pos):
+        last[r.doc_id, r.c1] = (r.run, r.byte1, r.byte2, r.byte3)
+    found = statistics.last_runs(docs).collect()
+    assert {(r.doc_id, r.c1): (r.run, r.byte1, r.byte2, r.byte3) for r in found} == last and len(found) == len(last)
+
+
+def test_log_gamma(spark):
+    xs = [0.25, 0.5, 1.0, 1.25, 7.5, 8.0, 1000.25, 1e9 + 0.5]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", probability.log_gamma(F.col("x")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-11) for r in rows)
+
+
+def test_selectors(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(9), rng.randrange(7), rng.randrange(8), rng.randrange(1 << 16) & rng.choice([0, 1, 0xFF, 0xFF00, 0xFFFF]), rng.randrange(1, 256), rng.randrange(256), rng.randrange(2), rng.randrange(6561)) for _ in range(300)]
+    names = ["order", "kind", "bpos", "misses", "c0", "c1", "boundary", "confidence"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    out = frame.select(*names, *[c.alias(f"s{i}") for i, c in enumerate(contexts.selectors(*[F.col(n) for n in names]))]).collect()
+    for r in out:
+        # misses of the current byte stand in the lowest bpos bits; the flags look from the byte's border
+        current, older = r.misses & (1 << r.bpos) - 1 if r.bpos else r.misses & 255, r.misses >> (r.bpos or 8)
+        flags = (current & 1 != 0) | (current & 0xFE != 0) << 1 | (older & 255 != 0) << 2
+        assert r.s0 == (r.order * 7 + r.kind) * 8 + r.bpos and r.s3 == r.confidence
+        assert r.s1 == (flags * 7 + r.kind) * 255 + r.c0 - 1, r
+        assert r.s2 == r.order << 10 | (r.misses != 0) << 9 | r.boundary << 8 | r.c1
+
+
 def test_closed_form_equals_window(docs):
     bits = to_bits(to_bytes(docs, history=1))
     for keys in (("c0",), ("c1", "c0")):
