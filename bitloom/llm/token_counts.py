@@ -26,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tokenizer_path
+from .common import running_offsets, text_or_empty, tokenizer_path
 from .token_files import word_encoder
 
 SEPARATOR = 49407
 BLOCK_IDS = 1 << 19
 GROUP_BLOCKS = 1024
+FLAT_SCHEMA = "file int, block int, payload binary, doc_ids array<long>, kind string"
 
 
 def write_flat(
@@ -77,7 +78,7 @@ def write_flat(
             yield row("tokens", block, np.concatenate(parts).astype("<u2").tobytes(), None)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    flat = rows.mapInArrow(blocks, "file int, block int, payload binary, doc_ids array<long>, kind string")
+    flat = rows.mapInArrow(blocks, FLAT_SCHEMA)
     flat.write.option("compression", "zstd").partitionBy("kind").parquet(path)
 
 
@@ -121,11 +122,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Writes the flat files to ``path``, scans them and names the counts: doc_id, n_tokens."""
     spark: SparkSession = docs.sparkSession
     write_flat(docs, path, id_col, text_col)
-    counts = scan(spark.read.parquet(f"{path}/kind=tokens"))
-    lists = spark.read.parquet(f"{path}/kind=ids").select("file", "block", F.posexplode("doc_ids").alias("k", "doc_id"))
+    stored = spark.read.schema(FLAT_SCHEMA).parquet(path)
+    counts = scan(stored.where("kind = 'tokens'"))
     # every list but a file's last has 500 ids or ends a batch; its place follows from the sizes of those before it
-    sizes = spark.read.parquet(f"{path}/kind=ids").select("file", "block", F.size("doc_ids").cast("long").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    named = lists.join(places, ["file", "block"]).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
+    ids = stored.where("kind = 'ids'")
+    sizes = ids.select("file", "block", F.size("doc_ids").cast("long").alias("n"))
+    lists = ids.select("file", "block", F.posexplode("doc_ids").alias("k", "doc_id"))
+    named = lists.join(running_offsets(sizes, "file", "block", "n"), ["file", "block"])
+    named = named.select("file", (F.col("offset") + F.col("k")).alias("ordinal"), "doc_id")
     return named.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

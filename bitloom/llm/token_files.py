@@ -7,7 +7,8 @@ a position in one level to its position in the next, so any token or range is re
 A file is one task's run of blocks; a block holds whole documents and is closed at ``BLOCK_IDS`` ids. Blocks are
 written by Spark's Parquet writer as (file, block, start_in_file, n_ids, doc_ids, payload), so any store that Spark writes
 will do and a task that is run again replaces its output. A payload holds the ids' levels and those of the documents'
-lengths.
+lengths, uncompressed and in a page of its own, so a reader that wants one token fetches one payload by the page index and
+decodes nothing else in it. ``path``/offsets holds the number of ids before each file.
 
 Defined results: null and empty texts have the end id only. Documents are written in ascending id, null ids first,
 repeated ids in the order of their texts. An empty table gives no blocks. Other columns are never read.
@@ -29,18 +30,22 @@ from itertools import accumulate, chain, compress
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tokenizer_path
+from .common import cut, running_offsets, small, text_or_empty, tokenizer_path
 
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
-REMEMBERED_WORDS = 300_000
+BLOCK_SCHEMA = "file int, block int, start_in_file long, n_ids long, doc_ids array<long>, payload binary"
+#: Words and ids that a worker remembers, in bytes; then the words not in use are forgotten.
+REMEMBERED_BYTES = 48 << 20
+_WORD_BYTES = 160
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-#: Texts of other characters, or with the beginning of special tokens, are left to the library. Not among these: the
-#: capital whose lower case is two characters, control characters and odd white space.
-_LATIN = frozenset(map(chr, [9, 10, 11, 12, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x250)]))
+_LETTERS = frozenset(map(chr, [9, 10, 11, 12, 13, *range(32, 127), *range(0xA1, 0x250)]))
+#: Texts of other characters, or with the beginning of special tokens, are left to the library. Not among these: letters
+#: whose lower case is longer or isn't among them, control characters and odd white space.
+_LATIN = frozenset(c for c in _LETTERS if c.lower() in _LETTERS)
 #: The public tokenizer's words among Latin letters in lower case.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,8 +61,6 @@ def _is_public(config: dict) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and pattern == _PATTERN
 
 
-
-
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library that drops white space and splits at it.
 
@@ -76,6 +79,7 @@ class WordEncoder:
         self.merges = self.library.model if _is_public(json.loads(model)) else None
         self.old: tuple[dict[str, int], array, array, array] = ({}, array("Q"), array("Q"), array("I"))
         self.now = ({}, array("Q"), array("Q"), array("I"))
+        self.held = 0
 
     def _plain(self, text: str) -> bool:
         return self.merges is not None and _LATIN.issuperset(text) and "<|" not in text
@@ -87,10 +91,12 @@ class WordEncoder:
         starts.extend(accumulate(lengths[:-1], initial=len(flat)) if ids else ())
         sizes.extend(lengths)
         flat.extend(chain.from_iterable(ids))
+        self.held += _WORD_BYTES * len(words) + sum(map(len, words)) + 4 * sum(lengths)
 
     def _learn(self, plain: set[str], other: set[str]) -> None:
         """``plain``: the tokenizer's own words; ``other``: runs between white space."""
-        if len(self.now[0]) > REMEMBERED_WORDS:  # words in use move on from the old generation, the rest is forgotten
+        if self.held > REMEMBERED_BYTES:  # words in use move on from the old generation, the rest is forgotten
+            self.held = 0
             self.old, self.now = self.now, ({}, array("Q"), array("Q"), array("I"))
         new = [plain.difference(self.now[0]), other.difference(self.now[0])]
         old, starts, sizes, flat = self.old
@@ -248,39 +254,69 @@ def write_tokens(
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    schema = "file int, block int, start_in_file long, n_ids long, doc_ids array<long>, payload binary"
-    ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(path)
+    written = ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed")
+    written.option("parquet.enable.dictionary", "false").option("parquet.page.row.count.limit", "1").parquet(f"{path}/blocks")
+    stored = docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    files_of = stored.groupBy(F.lit(0).alias("all"), "file").agg(F.sum("n_ids").alias("n"))
+    offsets = running_offsets(files_of, "all", "file", "n").select("file", "offset")
+    offsets.write.parquet(f"{path}/offsets")
+
+
+def _offsets(spark: SparkSession, path: str) -> DataFrame:
+    """file and offset (ids of all files before it): one short row for each file."""
+    return small(spark.read.schema("file int, offset long").parquet(f"{path}/offsets"))
+
+
+def read_tokens(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """position and token of the ids from ``start`` to before ``end``. The places of blocks are found in their narrow
+    columns; of the payloads only those of blocks in range are read, and in these only the parts that the levels' rank
+    directories lead to."""
+    rows = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    placed = rows.select("file", "block", "start_in_file", "n_ids").join(_offsets(spark, path), "file")
+    first = F.col("offset") + F.col("start_in_file")
+    hit = cut(placed.where((first < end) & (first + F.col("n_ids") > start)).select("file", "block", first.alias("first")))
+    ends = hit.agg(F.min("file"), F.max("file"), F.min(F.struct("file", "block")), F.max(F.struct("file", "block"))).first()
+    wanted = rows.where(F.col("file").between(ends[0], ends[1])) if ends[0] is not None else rows.limit(0)
+    if ends[0] is not None and ends[0] == ends[1]:
+        wanted = wanted.where(F.col("block").between(ends[2]["block"], ends[3]["block"]))
+    found = wanted.select("file", "block", "payload").join(small(hit), ["file", "block"]).select("first", "payload")
+
+    def values(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                at = batch.column(0)[i].as_py()
+                tokens = Packed(batch.column(1)[i].as_buffer())
+                low, high = max(start - at, 0), min(end - at, len(tokens))
+                ids = [tokens[low]] if high - low == 1 else tokens.slice(low, high)
+                columns = [pa.array(np.arange(at + low, at + high)), pa.array(np.asarray(ids, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["position", "token"])
+
+    return found.mapInArrow(values, "position long, token long")
+
+
+def read_token(spark: SparkSession, path: str, position: int) -> int | None:
+    """The id at one position of the whole sequence, none beyond its ends."""
+    row = read_tokens(spark, path, position, position + 1).first()
+    return row["token"] if row else None
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (little-endian unsigned
     32-bit ids)."""
-    ordered = spark.read.parquet(path).select("file", "n_ids", "start_in_file", "doc_ids", "payload")
+    stored = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    ordered = stored.join(_offsets(spark, path), "file").select(F.col("offset") + F.col("start_in_file"), "doc_ids", "payload")
+
     def documents(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in range(batch.num_rows):
-                file, _, start, ids, payload = (batch.column(i)[row] for i in range(5))
+                start, ids, payload = (batch.column(i)[row] for i in range(3))
                 data = payload.as_buffer()
                 tokens = Packed(data)
                 lengths = Packed(memoryview(data)[tokens.n_bytes :])
                 sizes = lengths.slice(0, len(lengths)).astype(np.int64)
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(tokens.slice(e - n, e).astype("<u4").tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
-                columns = [
-                    pa.array([file.as_py()] * len(sizes), pa.int32()),
-                    pa.array(ids.as_py(), pa.int64()),
-                    pa.array(start.as_py() + ends - sizes),
-                    pa.array(sizes),
-                    pa.array(crcs, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    read = ordered.mapInArrow(documents, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # one short row per file is broadcast
-    sizes = ordered.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return read.join(F.broadcast(offsets), "file").select(
-        "doc_id", (F.col("offset") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32"
-    )
+                columns = [pa.array(ids.as_py(), pa.int64()), pa.array(start.as_py() + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    return ordered.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

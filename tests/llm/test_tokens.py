@@ -90,9 +90,41 @@ def test_token_files(spark, docs, monkeypatch):
         expected.append((str(i), start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in out) == sorted(expected)
+    flat = [x for _, t in ordered for x in [*whole([t])[0], 1]]
+    for at in (0, 1, len(flat) // 2, len(flat) - 1):
+        assert token_files.read_token(spark, path, at) == flat[at]
+    assert token_files.read_token(spark, path, len(flat)) is None
+    part = token_files.read_tokens(spark, path, 5, 3000).orderBy("position").collect()
+    assert [(r.position, r.token) for r in part] == list(enumerate(flat[5:3000], 5))
     empty = shared_path(spark, "t")
     token_files.write_tokens(docs([]), empty)
-    assert token_files.read_documents(spark, empty).count() == 0
+    assert token_files.read_documents(spark, empty).count() == 0 and token_files.read_token(spark, empty, 0) is None
+
+
+def same_ids(texts):
+    model = open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
+    found = [x.tolist() for x in token_files.WordEncoder(model).encode(texts)]
+    return [t for t, a, b in zip(texts, found, whole(texts)) if a != b]
+
+
+def test_every_character_has_the_library_s_ids():
+    assert same_ids([f"ab{chr(c)}cd {chr(c)} x{chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]) == []
+
+
+def test_mixed_strings_have_the_library_s_ids():
+    rng = random.Random(3)
+    pool = [chr(c) for c in range(32, 0x250)] + [" "] * 80 + list("abcdefghijklmnopqrstuvwxyz'") * 6
+    pool += ["'s", "'LL", "\n", "<|", "Ɓ", "ẞ", "\u212a", "\u212b", "ı", "İ", "\u0301", "中", "😀", "\u200b", "\x85", "\xa0"]
+    assert same_ids(["".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]) == []
+
+
+def test_remembered_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED_BYTES", 50_000)
+    encoder = token_files.WordEncoder(open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    for n in range(12):
+        texts = ["".join(chr(0x4E00 + (i * 37 + n * 911) % 9000) for i in range(5000)), f"word{n} the"]
+        assert [x.tolist() for x in encoder.encode(texts)] == whole(texts)
+        assert len(encoder.now[3]) < 60_000 and len(encoder.old[3]) < 60_000
 
 
 def test_counts_across_blocks(spark):
