@@ -46,8 +46,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     made = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
-    formatted = chat_format.render(chat_format.fold(chat_format.as_events(rows.unionByName(made))))
-    return chat_format.digests(chat_format.read_back(formatted))
+    formatted, path = chat_format.render(chat_format.fold(chat_format.as_events(rows.unionByName(made)))), shared_path(spark, "chats")
+    formatted.write.parquet(path)
+    return chat_format.digests(chat_format.read_back(spark.read.schema(formatted.schema).parquet(path)))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +66,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "shards")
-    sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    rows = sharding.read_shards(spark, path)
+    path, docs = shared_path(spark, "shards"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    sharding.write_shards(docs, path)
+    rows = sharding.read_shards(spark, path, docs.schema).select("row.doc_id", "row.text", "shard", "slot")
     return rows.select(
         "doc_id",
         sharding.size_of("text").alias("size"),
