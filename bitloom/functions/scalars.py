@@ -34,14 +34,14 @@ def bit_at(b: Column, bpos: Column) -> Column:
 
 def squash(d: Column) -> Column:
     """Logistic of d / 256 on a scale of 4096, from 1 to 4095."""
-    inside = F.greatest(F.lit(1), F.least(F.lit(4095), F.round(4096 / (1 + F.exp(-d / 256.0))).cast("int")))
+    inside = F.greatest(F.lit(1), F.least(F.lit(4095), F.rint(4096 / (1 + F.exp(-d / 256.0))).cast("int")))
     return F.when(d > 2047, 4095).when(d < -2047, 1).otherwise(inside)
 
 
 def stretch(p: Column) -> Column:
     """Inverse of :func:`squash`: 256 times the log odds of p / 4096, between -2047 and 2047."""
     q = F.greatest(p, F.lit(1)) / 4096.0
-    return F.greatest(F.lit(-2047), F.least(F.lit(2047), F.round(256 * F.log(q / (1 - q))).cast("int")))
+    return F.greatest(F.lit(-2047), F.least(F.lit(2047), F.rint(256 * F.log(q / (1 - q))).cast("int")))
 
 
 def update_rate(i: Column) -> Column:

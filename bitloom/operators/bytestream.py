@@ -147,7 +147,7 @@ def bit_streams(df: DataFrame, context: str = "none", content: str = "text", kee
                     bits = (values[order] >> (7 - level) & 1).astype(np.int8)
                     ys = pa.ListArray.from_arrays(pa.array(np.append(edges, len(key)).astype(np.int32)), pa.array(bits))
                     first = key[order[edges]]
-                    own = pa.array([batch.column(0)[i].as_py()] * len(edges), batch.column(0).type)
+                    own = pa.repeat(batch.column(0)[i], len(edges))
                     columns = [own, pa.array(first >> 8), pa.array((first & 255).astype(np.int32)), ys]
                     yield pa.RecordBatch.from_arrays(columns, names=[keep, "ctx", "c0", "ys"])
 
@@ -166,7 +166,7 @@ def bit_positions(df: DataFrame, contexts: tuple[str, ...], content: str = "text
                 values = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
                 for level in range(8 if len(values) else 0):
                     y = (values >> (7 - level) & 1).astype(np.int32)
-                    columns = [pa.array([batch.column(0)[i].as_py()] * len(y), batch.column(0).type), pa.array(y)]
+                    columns = [pa.repeat(batch.column(0)[i], len(y)), pa.array(y)]
                     for context in contexts:
                         key = _bit_contexts(values, context) << 8 | (values.astype(np.int64) + 256) >> (8 - level)
                         order = np.argsort(key, kind="stable")

@@ -1,4 +1,5 @@
-"""Gated logistic mixing with integer weights, as expressions over arrays."""
+"""Gated logistic mixing with integer weights: as expressions over arrays of any length, and over lists of columns, which
+Spark compiles without building arrays."""
 
 from __future__ import annotations
 
@@ -22,6 +23,27 @@ def dot_product(inputs: Column, weights: Column) -> Column:
     return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def dot_of(inputs: list[Column], weights: list[Column]) -> Column:
+    """:func:`dot_product` of as many columns as there are."""
+    products = [(t * w).cast("long") for t, w in zip(inputs, weights)]
+    pairs = [sum(products[i + 1 : i + 2], products[i]) for i in range(0, len(products), 2)]
+    return sum((F.call_function("shiftright", p, F.lit(8)) for p in pairs[1:]), F.call_function("shiftright", pairs[0], F.lit(8)))
+
+
+def train_of(inputs: list[Column], weights: list[Column], error: Column) -> list[Column]:
+    """:func:`train` of as many columns as there are."""
+    half = lambda t: F.call_function("shiftright", (t.cast("long") * error * 2).cast("long"), F.lit(16)) + 1
+    moved = [w + F.call_function("shiftright", half(t), F.lit(1)) for t, w in zip(inputs, weights)]
+    return [F.greatest(F.lit(LOW), F.least(F.lit(HIGH), m)).cast("int") for m in moved]
+
+
+def mix_of(inputs: list[Column], weight_rows: list[list[Column]], final_weights: list[Column], scale: int = 1150, final_scale: int = 240) -> Column:
+    """:func:`mix` of as many columns as there are."""
+    opinion = lambda row: F.call_function("shiftright", dot_of(inputs, row) * scale, F.lit(16))
+    opinions = [F.greatest(F.lit(-2047), F.least(F.lit(2047), opinion(r))).cast("int") for r in weight_rows]
+    return squash(F.call_function("shiftright", dot_of(opinions, final_weights) * final_scale, F.lit(16)))
+
+
 def train(inputs: Column, weights: Column, error: Column) -> Column:
     """New weights: each moves by its input times the error over 2^16, rounded to nearest, and stays a 16-bit number."""
 

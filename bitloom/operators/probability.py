@@ -55,15 +55,18 @@ def cost(y: Column, p1: Column) -> Column:
 def capped_fold(bits: Column, limit: int) -> Column:
     """struct(p, n) after an ordered array of bits, on a scale of 2^22, with n at most ``limit``: one step moves p by
     the shifted distance to the bit times the rate after n observations."""
-    start = F.struct(F.lit(1 << 21).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
-
-    def step(s: Column, y: Column) -> Column:
-        rate = F.floor(F.lit(16384) / (2 * s["n"] + 3))
-        gap = F.call_function("shiftright", y.cast("long") * (1 << 22) - s["p"], F.lit(3)) * rate
-        moved = s["p"] + F.call_function("shiftright", gap, F.lit(10))
-        return F.struct(moved.alias("p"), F.least(s["n"] + 1, F.lit(limit).cast("long")).alias("n"))
-
-    return F.aggregate(bits, start, step)
+    if limit > 1023:
+        raise ValueError("the count has to fit ten bits")
+    rates = F.array(*[F.lit(16384 // (2 * n + 3)).cast("long") for n in range(limit + 1)])
+
+    def step(s: Column, y: Column) -> Column:  # s: p in the higher bits, n in the lowest ten
+        p, n = F.call_function("shiftright", s, F.lit(10)), s.bitwiseAND(F.lit(1023).cast("long"))
+        gap = F.call_function("shiftright", y.cast("long") * (1 << 22) - p, F.lit(3)) * F.get(rates, n.cast("int"))
+        moved = p + F.call_function("shiftright", gap, F.lit(10))
+        return moved * 1024 + F.least(n + 1, F.lit(limit).cast("long"))
+
+    state = F.aggregate(bits, F.lit(1 << 31).cast("long"), step)
+    return F.struct(F.call_function("shiftright", state, F.lit(10)).alias("p"), state.bitwiseAND(F.lit(1023).cast("long")).alias("n"))
 
 
 def direct_inputs(p: Column) -> list[Column]:

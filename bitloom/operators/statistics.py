@@ -74,7 +74,7 @@ def last_runs(df: DataFrame, content: str = "text", keep: str = "doc_id", cap: i
                 last = np.flatnonzero(np.diff(context, append=-1))
                 first = np.concatenate([[0], last[:-1] + 1])
                 older = [byte[np.where(last - k >= first, last - k, first)] for k in (1, 2)]
-                own = pa.array([batch.column(0)[i].as_py()] * len(last), batch.column(0).type)
+                own = pa.repeat(batch.column(0)[i], len(last))
                 columns = [context[last], run[last], byte[last], *older]
                 yield pa.RecordBatch.from_arrays([own, *(pa.array(c.astype(np.int32)) for c in columns)], names=[keep, "c1", "run", "byte1", "byte2", "byte3"])
 
@@ -93,22 +93,20 @@ def confidence_code(digits: list[Column]) -> Column:
     return F.aggregate(F.array(*digits), F.lit(0), lambda a, d: a * 3 + d)
 
 
-def history_fold(ys: Column, limit: int = 40) -> Column:
-    """struct(n0, n1): the bounded counts a history state stands for after an ordered array of bits. A bit raises its own
-    count up to ``limit``; when the other count is above 2, part of it is forgotten: it falls to 2 plus a third of the
-    rest."""
-    start = F.struct(F.lit(0).alias("n0"), F.lit(0).alias("n1"))
-
-    def faded(n: Column) -> Column:
-        return F.when(n > 2, F.floor((n - 2) / 3).cast("int") + 2).otherwise(n)
+def history_table(limit: int = 40) -> list[int]:
+    """The next state for (state, bit) at 2 * state + bit; a state is n0 * (limit + 1) + n1. A bit raises its own count up to
+    ``limit``; when the other count is above 2, part of it is forgotten: it falls to 2 plus a third of the rest."""
+    faded = [n if n <= 2 else (n - 2) // 3 + 2 for n in range(limit + 1)]
+    raised = [min(n + 1, limit) for n in range(limit + 1)]
+    pairs = [(n0, n1) for n0 in range(limit + 1) for n1 in range(limit + 1)]
+    return [s for n0, n1 in pairs for s in (raised[n0] * (limit + 1) + faded[n1], faded[n0] * (limit + 1) + raised[n1])]
 
-    def step(s: Column, y: Column) -> Column:
-        raised = lambda n: F.least(n + 1, F.lit(limit))
-        return F.when(y == 0, F.struct(raised(s["n0"]).alias("n0"), faded(s["n1"]).alias("n1"))).otherwise(
-            F.struct(faded(s["n0"]).alias("n0"), raised(s["n1"]).alias("n1"))
-        )
 
-    return F.aggregate(ys, start, step)
+def history_fold(ys: Column, limit: int = 40) -> Column:
+    """struct(n0, n1): the bounded counts a history state stands for after an ordered array of bits."""
+    table = F.array(*[F.lit(s) for s in history_table(limit)])
+    state = F.aggregate(ys, F.lit(0), lambda s, y: F.get(table, s * 2 + y))
+    return F.struct(F.floor(state / (limit + 1)).cast("int").alias("n0"), (state % (limit + 1)).cast("int").alias("n1"))
 
 
 def bit_history(bits: DataFrame, keys: tuple[str, ...], order_col: str = "pos", limit: int = 40) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, scalars
 from ..operators import codec, contexts, mixing, probability, statistics, verify
 from ..operators.bytestream import bit_counts, bit_positions, bit_streams, byte_counts
-from ..shared import shared_path
+from ..shared import cut, shared_path
 from ..streaming import incremental
 
 
@@ -391,7 +391,7 @@ def _finish(spark: SparkSession, counts: DataFrame, mode: str) -> DataFrame:
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text compressed, extracted and compared."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
-    archives = codec.compress(items, key="item_id")
+    archives = cut(codec.compress(items, key="item_id"))
     checked = verify.verify(codec.extract(archives, key="item_id"), items, key="item_id")
     return checked.join(archives.select("item_id", "n_bytes"), "item_id")
 
@@ -466,16 +466,15 @@ def mixed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights' sum; sums for each document."""
     bits = bit_positions(_documents(spark, sf_dir).select("doc_id", "text"), ("none", "raw"))
     p = [probability.adaptive_p(F.col(f"n_{k}") - F.col(f"ones_{k}"), F.col(f"ones_{k}")) for k in (0, 1)]
-    p12 = [F.greatest(F.lit(1), F.least(F.lit(4095), F.round(x * 4096).cast("int"))) for x in p]
+    p12 = [F.greatest(F.lit(1), F.least(F.lit(4095), F.rint(x * 4096).cast("int"))) for x in p]
     rows = bits.select("doc_id", "y", p12[0].alias("p_0"), p12[1].alias("p_1"))
-    inputs = F.array(*[x for k in (0, 1) for x in probability.direct_inputs(F.col(f"p_{k}"))], F.lit(256))
-    weights = F.array(*[F.lit(16384)] * 5)
-    rows = rows.select("doc_id", "y", inputs.alias("x"), weights.alias("w"))
-    rows = rows.withColumn("p", mixing.mix(F.col("x"), [F.col("w")], F.array(F.lit(16384))))
+    inputs = [x for k in (0, 1) for x in probability.direct_inputs(F.col(f"p_{k}"))]
+    rows = rows.select("doc_id", "y", *[x.alias(f"x{k}") for k, x in enumerate(inputs)], F.lit(256).alias("x4"))
+    x, w = [F.col(f"x{k}") for k in range(5)], [F.lit(16384)] * 5
+    rows = rows.withColumn("p", mixing.mix_of(x, [w], [F.lit(16384)]))
     rows = rows.withColumn("error", mixing.error_of(F.col("y"), F.col("p"), F.lit(6 * 65536)))
-    trained = F.aggregate(mixing.train(F.col("x"), F.col("w"), F.col("error")), F.lit(0), lambda a, v: a + v)
     total = lambda c: F.sum(c).cast("long")
-    return rows.withColumn("trained", trained).groupBy("doc_id").agg(
+    return rows.withColumn("trained", sum(mixing.train_of(x, w, F.col("error")), F.lit(0))).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_bits"), total("y").alias("n_ones"), total("p").alias("p_sum"), total("error").alias("error_sum"),
         total(F.abs("error")).alias("distance_sum"), total("trained").alias("weight_sum"),
     )

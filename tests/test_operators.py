@@ -221,6 +221,11 @@ def test_mixing(spark):
         err = rng.randrange(-30000, 30000)
         frame = spark.createDataFrame([(t, w)], "t array<int>, w array<int>")
         r = frame.select(mixing.dot_product(F.col("t"), F.col("w")).alias("d"), mixing.train(F.col("t"), F.col("w"), F.lit(err)).alias("n")).first()
+        lists = frame.select(*[F.col("t")[i].alias(f"t{i}") for i in range(size)], *[F.col("w")[i].alias(f"w{i}") for i in range(size)])
+        ts, ws = [F.col(f"t{i}") for i in range(size)], [F.col(f"w{i}") for i in range(size)]
+        same = lists.select(mixing.dot_of(ts, ws).alias("d"), F.array(*mixing.train_of(ts, ws, F.lit(err))).alias("n"), mixing.mix_of(ts, [ws, ws], [F.lit(9000)] * 2).alias("p")).first()
+        mixed = frame.select(mixing.mix(F.col("t"), [F.col("w")] * 2, F.array(F.lit(9000), F.lit(9000))).alias("p")).first()
+        assert (same.d, same.n, same.p) == (r.d, r.n, mixed.p)
         pad = [a * b for a, b in zip(t, w)] + [0]
         assert r.d == sum((pad[i] + pad[i + 1]) >> 8 for i in range(0, size, 2))
         assert r.n == [max(-32768, min(32767, b + (((2 * a * err >> 16) + 1) >> 1))) for a, b in zip(t, w)]
