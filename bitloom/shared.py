@@ -36,13 +36,30 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written() -> int:
+    """How many tables were written so far; a mark for :func:`delete_written`."""
+    return len(_written)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def delete_written(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables written since a mark, but for those to keep. For a caller whose result no longer reads them."""
+    gone = [path for path in _written[since:] if path not in keep]
+    for path in gone:
+        _delete(spark, path)
+        _written.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the checkpoints and written tables of this application. For callers that have read or stored their results;
     frames that still depend on them can't be computed afterwards."""
     root = spark.sparkContext.getCheckpointDir()
     for path in [*_written, *([root] if root else [])]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     _written.clear()
     if root:  # Spark's own folder under the one that was named: a new one takes its place
         spark.sparkContext.setCheckpointDir(root.rstrip("/").rsplit("/", 1)[0])
