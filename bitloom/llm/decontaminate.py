@@ -10,7 +10,8 @@ keeps one of them whole (checked in the tests), and an unchanged item of 5 to 12
 Tokens are runs of letters, marks and digits in lower case; punctuation and white space don't count.
 
 Defined results: null and blank texts are clean. Items of fewer than 5 tokens are too short as evidence and never match.
-Items of 5 to 12 tokens match whole and unchanged only. Rows with one id are judged together. Repeated items count
+Items of 5 to 12 tokens match whole and unchanged only. In reports, rows with one id are judged together; rows are dropped
+each by its own text. Repeated items count
 once for each item id. No benchmark: all documents are clean. No documents: an empty result. Other columns are never
 read.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, text_or_empty, with_row_keys, without_rows
 
 MASKS = ("11111", "110111")
 WINDOW = 13
@@ -133,6 +134,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without documents that hold a benchmark passage."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The input's rows and columns without those whose text holds a benchmark passage; each row is judged by its own
+    text, so rows that share an id, or have none, don't answer for one another."""
+    stored, row = with_row_keys(docs, "decontaminate")
+    gone = cut(contaminated(stored, benchmark, row, text_col).select(F.col("doc_id").alias(row)).distinct())
+    return without_rows(stored, row, gone)

@@ -69,3 +69,11 @@ def test_edges(spark, docs, prose):
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
     out = d.decontamination_report(docs([(None, text), (2, text), (2, text), (3, "clean")]), bench).collect()
     assert sorted((str(r.doc_id), r.contaminated) for r in out) == [("2", True), ("2", True), ("3", False), ("None", True)]
+
+
+def test_dropped_rows_are_rows_not_ids(spark, docs, prose):
+    text, own = " ".join(prose(20)), " ".join(prose(20))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    rows = [(None, text), (None, own), (1, text), (1, own), (2, None)]
+    assert sorted((str(r.doc_id), r.text) for r in d.drop_contaminated(docs(rows), bench).where("text is not null").collect()) == [("1", own), ("None", own)]
+    assert d.drop_contaminated(docs(rows), bench).count() == 3

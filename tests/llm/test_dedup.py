@@ -15,15 +15,14 @@ ROWS = [(5, "a  b"), (2, "a b"), (9, "a\n\tb"), (1, None), (3, ""), (4, " "), (7
 
 
 def test_exact_groups_against_brute_force(docs):
-    for digest_all in (True, False):
-        out = exact_dedup.exact_groups(docs(ROWS), digest_all=digest_all).collect()
-        assert len(out) == len(ROWS)
-        groups = {}
-        for i, t in ROWS:
-            groups.setdefault(norm(t), []).append(i)
-        expected = sorted((str(i), str(min((x for x in groups[norm(t)] if x is not None), default=None)), len(groups[norm(t)])) for i, t in ROWS)
-        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in out) == expected
-        assert sum(r.kept for r in out) == len(groups)
+    out = exact_dedup.exact_groups(docs(ROWS)).collect()
+    assert len(out) == len(ROWS)
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(norm(t), []).append(i)
+    expected = sorted((str(i), str(min((x for x in groups[norm(t)] if x is not None), default=None)), len(groups[norm(t)])) for i, t in ROWS)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in out) == expected
+    assert sum(r.kept for r in out) == len(groups)
     full = exact_dedup.exact_groups(docs(ROWS)).collect()
     texts = {hashlib.sha256(norm(t).encode()).hexdigest() for _, t in ROWS}
     assert {r.text_sha256 for r in full} == texts
@@ -36,6 +35,22 @@ def test_exact_empty_table_and_columns(docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["2", "1", "4", "7", "8", "None"])
 
 
+def test_dropped_copies_are_rows_not_ids(docs):
+    rows = [(1, "a b"), (1, "a  b"), (1, "own"), (None, "x"), (None, "x "), (None, "y"), (None, "A b"), (4, "y"), (4, "z"), (4, None), (4, "")]
+    kept = sorted((str(r.doc_id), norm(r.text)) for r in exact_dedup.drop_exact_copies(docs(rows)).collect())
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(norm(t), []).append(i)
+    # of each text the smallest id, a null one only where there is no other
+    assert kept == sorted((str(min((i for i in ids if i is not None), default=None)), t) for t, ids in texts.items())
+
+
+def test_near_copies_are_rows_not_ids(docs):
+    rows = [(3, "a b"), (None, "a b"), (None, "A b"), (5, "unlike anything at all here"), (5, "a  b"), (None, "alone"), (None, None), (7, " ")]
+    kept = simhash.drop_near_copies(docs(rows)).collect()
+    assert sorted((str(r.doc_id), (r.text or "").strip()) for r in kept) == [("3", "a b"), ("5", "unlike anything at all here"), ("7", ""), ("None", "alone")]
+
+
 def brute_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not words:
