@@ -38,8 +38,11 @@ from .common import text_or_empty, tokenizer_path
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LONE = re.compile("[\udc80-\udcff]")
-#: Words whose pieces a worker remembers between batches; then it starts anew.
-REMEMBERED_WORDS = 250_000
+#: Words of at most so many characters whose pieces a worker remembers between batches; then it starts anew. Longer ones
+#: (texts without spaces) are encoded in each batch.
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 250_000, 48
+#: Pair decisions that a worker remembers; then it starts anew.
+REMEMBERED_PAIRS = 500_000
 
 
 class Vocabulary:
@@ -59,6 +62,7 @@ class Vocabulary:
         self.tied = {p for p in ordered if not once[scores[p]]}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """Byte-pair encoding of a short string: always the best pair, the leftmost of equals. Stops at ``least`` parts."""
@@ -114,6 +118,7 @@ class Vocabulary:
             if known is None:
                 known = pairs[left] = {}
             if piece not in known:
+                self.n_pairs += 1
                 known[piece] = self.fits(left, piece)
             if known[piece]:
                 return piece
@@ -134,6 +139,8 @@ class Vocabulary:
         step = self._best_path if self.unigram else self._last_piece
         before, states = "", [(0.0, "") if self.unigram else ""]
         for word in sorted(set(words)):
+            if not self.unigram and self.n_pairs > REMEMBERED_PAIRS:
+                self.pairs, self.n_pairs = {}, 0
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
@@ -189,14 +196,17 @@ class Codec:
             return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
         return text.split(" ")
 
-    def encode(self, texts: list[str]) -> Iterator[array]:
+    def encode(self, texts: list[str]) -> list[array]:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         known, split = self.known, [self.words(t) for t in texts]
         new = {MARK + w for words in split for w in words if w not in known}
         known.update((w[1:], self._ids(p)) for w, p in self.vocabulary.segment(new))
-        for words in split:
-            yield array("I", chain.from_iterable(map(known.__getitem__, words)))
+        found = [array("I", chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        for word in new:
+            if len(word) > REMEMBERED_LENGTH:
+                del known[word[1:]]
+        return found
 
     def decode(self, ids: Iterable[int]) -> str:
         whole = "".join(map(self.texts.__getitem__, ids))
@@ -226,7 +236,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     model = open(model_path or tokenizer_path("piece_bpe_32k.model"), "rb").read()
 
     def fill(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = list(_codec(model).encode(part.column(1).to_pylist()))
+        ids = _codec(model).encode(part.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([memoryview(x).tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _mapped(docs.withColumn("__text", text_or_empty(text_col)), id_col, "__text", "ids array<int>", fill)
