@@ -113,7 +113,8 @@ def test_tokens_and_markers(spark, docs):
     text = spark.createDataFrame([(1, "漢字。中文、x1")], "doc_id int, text string")
     cut = contexts.tokens(text, markers=("。", "、")).orderBy("ord").collect()
     assert [(r.token, r.type) for r in cut] == [("漢字", 2), ("。", 3), ("中文", 2), ("、", 3), ("x1", 0)]
-    prefixes = contexts.token_prefixes(contexts.tokens(text)).collect()
+    assert len(contexts.SEGMENT_MARKERS) == 43 and [r.token for r in contexts.tokens(text).orderBy("ord").collect()] == [r.token for r in cut]
+    prefixes = contexts.token_prefixes(contexts.tokens(text, markers=())).collect()
     assert len(prefixes) == len("漢字。中文、x1".encode()) and sum(r.prefix == "" for r in prefixes) == 2
 
 
