@@ -12,8 +12,8 @@ __all__ = ["cut", "shared_path"]
 
 #: ASCII white space as the contracts state it; valid in Java, Python and DuckDB patterns.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Narrow rows (some 20 bytes) are broadcast up to this many.
-BROADCAST_ROWS = 1 << 20
+#: Row numbers (8 bytes) are broadcast up to the first number, wider rows up to the second.
+BROADCAST_ROWS, BROADCAST_KEYS = 1 << 20, 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

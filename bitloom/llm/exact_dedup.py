@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, cut, small, text_or_empty, with_row_keys, without_rows
+from .common import BROADCAST_KEYS, SPACE_RUN, cut, small, text_or_empty, with_row_keys, without_rows
 
 KEYS = ["n_bytes", "head_hash", "text_sha256"]
-#: Group keys (some 130 bytes each) are broadcast up to this many.
-BROADCAST_KEYS = 1 << 17
 
 
 def normalised(text_col: str) -> Column:
@@ -75,10 +73,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stored, row = with_row_keys(docs, "exact-dedup")
     source = stored.select(F.col(row).alias("row_uid"), F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     rows = cut(source.select("doc_id", "row_uid", *_narrow(head_chars)))
-
-    wanted = small(cut(_survivors(rows)))
-    read = source.select("row_uid", "norm").join(wanted, "row_uid")
-    hashed = cut(read.select("doc_id", "row_uid", "n_bytes", "head_hash", F.sha2("norm", 256).alias("text_sha256")))
+    survivors = cut(_survivors(rows))
+    read = source.select("row_uid", "norm").join(small(survivors.select("row_uid")), "row_uid", "left_semi")
+    digests = cut(read.select("row_uid", F.sha2("norm", 256).alias("text_sha256")))
+    hashed = cut(survivors.join(digests, "row_uid"))
     members = hashed.join(small(_groups(hashed), BROADCAST_KEYS), KEYS)
     gone = cut(members.where(F.col("first.row_uid") != F.col("row_uid")).select(F.col("row_uid").alias(row)))
     return without_rows(stored, row, gone)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import cut, small, text_or_empty
+from .common import BROADCAST_KEYS, cut, small, text_or_empty
 from .components import components
 
 SEED = 42
@@ -190,8 +190,8 @@ def simhash_components(
     joined = cut(distinct.join(member, distinct.fp == member.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root")))
     # sums are written before the joins: a broadcast, or a stage of its own that Spark splits where a root is hot
     roots = cut(joined.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    ids = cut(joined.join(small(roots), "root").select("fp", "component_id"))
-    return prints.join(small(ids), "fp").select(
+    ids = cut(joined.join(small(roots, BROADCAST_KEYS), "root").select("fp", "component_id"))
+    return prints.join(small(ids, BROADCAST_KEYS), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
