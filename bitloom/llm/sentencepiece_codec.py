@@ -40,9 +40,9 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LONE = re.compile("[\udc80-\udcff]")
 #: Words of at most so many characters whose pieces a worker remembers between batches; then it starts anew. Longer ones
 #: (texts without spaces) are encoded in each batch.
-REMEMBERED_WORDS, REMEMBERED_LENGTH = 250_000, 48
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 150_000, 48
 #: Pair decisions that a worker remembers; then it starts anew.
-REMEMBERED_PAIRS = 500_000
+REMEMBERED_PAIRS = 250_000
 
 
 class Vocabulary:

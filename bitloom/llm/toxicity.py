@@ -46,7 +46,7 @@ from .common import cut, text_or_empty
 SAMPLE_ROWS = 12_000
 FOLDS = 5
 #: Words whose symbol a task remembers, longer ones never; then it starts anew.
-REMEMBERED_WORDS, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 100_000, 64
 STEM_LENGTHS = (4, 5, 6, 7)
 #: Texts with the same first characters teach stems once, in the half that these deal them to.
 HEAD_CHARS = 24
