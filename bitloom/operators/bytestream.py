@@ -120,7 +120,11 @@ def _bit_contexts(values: np.ndarray, context: str) -> np.ndarray:
     if context == "none":
         return np.zeros(len(values), np.int64)
     padded = np.concatenate([np.zeros(4, np.int64), values.astype(np.int64)])
-    c1, c2, c3, c4 = (padded[4 - k : 4 - k + len(values)] for k in (1, 2, 3, 4))
+    return context_of(*(padded[4 - k : 4 - k + len(values)] for k in (1, 2, 3, 4)), context)
+
+
+def context_of(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, c4: np.ndarray, context: str) -> np.ndarray:
+    """The context that follows from the four bytes before; it is the byte before unless that continues a character."""
     inside = lambda c: (c >= 128) & (c < 192)
     if context == "raw":
         return c1

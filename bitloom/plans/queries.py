@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scalars
-from ..operators import codec, contexts, mixing, probability, statistics, verify
-from ..operators.bytestream import bit_counts, bit_positions, bit_streams, byte_counts
+from ..operators import codec, contexts, probability, statistics, verify
+from ..operators.bytestream import bit_counts, byte_counts
+from ..operators.folds import bit_folds, mixed_steps
 from ..shared import cut, shared_path
 from ..streaming import incremental
 
@@ -408,15 +409,8 @@ _BITS = _BYTES + """, bits AS (
 def bit_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded history counts and capped estimates of each document's partial bytes, summed over documents by partial
     byte."""
-    streams = bit_streams(_documents(spark, sf_dir))
-    folded = streams.select(
-        "c0", F.size("ys").alias("n"), statistics.history_fold(F.col("ys")).alias("s"), probability.capped_fold(F.col("ys"), 4).alias("m")
-    )
-    total = lambda c: F.sum(c).cast("long")
-    return folded.groupBy("c0").agg(
-        F.count(F.lit(1)).alias("n_docs"), total("n").alias("n_bits"), total("s.n0").alias("n0"), total("s.n1").alias("n1"),
-        total("m.p").alias("p22"), total("m.n").alias("seen"),
-    )
+    found = bit_folds(_documents(spark, sf_dir), [("none", 4)], history_limit=40)
+    return found.select("c0", F.col("n_groups").alias("n_docs"), "n_bits", "n0", "n1", "p22", "seen")
 
 
 _FADED = "CASE WHEN s.{0} > 2 THEN (s.{0} - 2) // 3 + 2 ELSE s.{0} END"
@@ -443,14 +437,11 @@ _ESTIMATES = (("none", 4, "0"), ("byte", 32, _STATE), ("character", 1023, _CHARA
 def capped_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three direct estimates with their caps, in each document: order 0 (4), the byte before (32), the character before
     (1023). Keys, bits and the sums of last estimates and counts."""
-    out, total = None, lambda c: F.sum(c).cast("long")
-    for order, (context, limit, _) in enumerate(_ESTIMATES):
-        streams = bit_streams(_documents(spark, sf_dir), context)
-        folded = streams.select(F.size("ys").alias("n"), probability.capped_fold(F.col("ys"), limit).alias("m"))
-        sums = folded.agg(F.count(F.lit(1)).alias("n_keys"), total("n").alias("n_bits"), total("m.p").alias("p22"), total("m.n").alias("seen"))
-        part = sums.select(F.lit(order).alias("context_order"), *sums.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = bit_folds(_documents(spark, sf_dir), [(context, limit) for context, limit, _ in _ESTIMATES])
+    orders = spark.range(len(_ESTIMATES)).select(F.col("id").cast("int").alias("fold"))
+    return orders.join(found, "fold", "left").groupBy(F.col("fold").alias("context_order")).agg(
+        F.coalesce(F.sum("n_groups"), F.lit(0)).alias("n_keys"), *[F.sum(c).alias(c) for c in ("n_bits", "p22", "seen")]
+    )
 
 
 CAPPED_ESTIMATES = _BITS + "\nUNION ALL\n".join(
@@ -464,20 +455,7 @@ CAPPED_ESTIMATES = _BITS + "\nUNION ALL\n".join(
 def mixed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mixing step for each bit of the documents: two orders' estimates, equal weights, the error and the trained
     weights' sum; sums for each document."""
-    bits = bit_positions(_documents(spark, sf_dir).select("doc_id", "text"), ("none", "raw"))
-    p = [probability.adaptive_p(F.col(f"n_{k}") - F.col(f"ones_{k}"), F.col(f"ones_{k}")) for k in (0, 1)]
-    p12 = [F.greatest(F.lit(1), F.least(F.lit(4095), F.rint(x * 4096).cast("int"))) for x in p]
-    rows = bits.select("doc_id", "y", p12[0].alias("p_0"), p12[1].alias("p_1"))
-    inputs = [x for k in (0, 1) for x in probability.direct_inputs(F.col(f"p_{k}"))]
-    rows = rows.select("doc_id", "y", *[x.alias(f"x{k}") for k, x in enumerate(inputs)], F.lit(256).alias("x4"))
-    x, w = [F.col(f"x{k}") for k in range(5)], [F.lit(16384)] * 5
-    rows = rows.withColumn("p", mixing.mix_of(x, [w], [F.lit(16384)]))
-    rows = rows.withColumn("error", mixing.error_of(F.col("y"), F.col("p"), F.lit(6 * 65536)))
-    total = lambda c: F.sum(c).cast("long")
-    return rows.withColumn("trained", sum(mixing.train_of(x, w, F.col("error")), F.lit(0))).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_bits"), total("y").alias("n_ones"), total("p").alias("p_sum"), total("error").alias("error_sum"),
-        total(F.abs("error")).alias("distance_sum"), total("trained").alias("weight_sum"),
-    )
+    return mixed_steps(_documents(spark, sf_dir), ("none", "raw"))
 
 
 _STRETCH = "CAST(greatest(-2047, least(2047, round(256 * ln((p_{0} / 4096.0) / (1 - p_{0} / 4096.0))))) AS INTEGER)"
