@@ -215,3 +215,34 @@ def mixed_steps(df: DataFrame, contexts: tuple[str, ...], content: str = "text",
     texts = df.select(keep, F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("__content"))
     found = texts.mapInArrow(batches, ", ".join([f"`{keep}` {kind}", *(f"{n} long" for n in names)]))
     return found.groupBy(keep).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def distinct_contexts(df: DataFrame, order: int = 3, content: str = "text") -> DataFrame:
+    """One row: n, the positions of all texts, and d1 .. d``order`` (up to 3), the sum over texts of the distinct contexts of so many
+    bytes (0 where a text has none yet). A row is a text, whatever its id. A text's contexts are sorted where it is read."""
+    names = ["n", *(f"d{k}" for k in range(1, order + 1))]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(order + 1, np.int64)
+        for batch in source:
+            for values, begins, _ in spans(batch.column(0)):
+                key = np.repeat(np.arange(len(begins), dtype=np.uint64), np.diff(np.append(begins, len(values))))
+                for k in range(1, order + 1):
+                    before = np.zeros_like(values)
+                    before[k:] = values[:-k]
+                    first = (begins[:, None] + np.arange(k)).ravel()
+                    before[first[first < len(values)]] = 0
+                    key <<= np.uint64(8)
+                    key |= before
+                key.sort()
+                total[0] += len(key)
+                for k in range(order, 0, -1):
+                    total[k] += 1 + np.count_nonzero(key[1:] != key[:-1])
+                    key >>= np.uint64(8)
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], names=names)
+
+    if not 1 <= order <= 3:
+        raise ValueError("one to three bytes of history")
+    texts = df.select(F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("__content"))
+    found = texts.mapInArrow(batches, ", ".join(f"{n} long" for n in names))
+    return found.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, scalars
 from ..operators import codec, contexts, probability, statistics, verify
 from ..operators.bytestream import bit_counts, byte_counts
-from ..operators.folds import bit_folds, mixed_steps
+from ..operators.folds import bit_folds, distinct_contexts, mixed_steps
 from ..shared import cut, shared_path
 from ..streaming import incremental
 
@@ -505,17 +505,11 @@ SELECT CAST(run AS INTEGER) AS run, count(*) AS n_contexts, CAST(sum(byte1) AS B
 
 def active_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many positions of the documents how many of the contexts of one, two and three bytes were met before in the
-    same document. A context that was met before was met with every shorter one, so the counts follow from the numbers
-    of distinct contexts and no position is visited twice."""
-    counts, keys = byte_counts(_documents(spark, sf_dir), 3, by=("doc_id",)), ["doc_id", "c1", "c2", "c3"]
-    contexts_of = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    fewer, sums = contexts_of, []
-    for order in (3, 2, 1):
-        fewer = fewer.groupBy(*keys[: order + 1]).agg(F.sum("n").alias("n"))
-        sums.append(fewer.agg(F.lit(order).alias("k"), F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
-    met = sums[0].unionByName(sums[1]).unionByName(sums[2]).select("k", (F.col("n") - F.col("d")).alias("met"), "n")
-    one = met.agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("met"))).alias(f"m{k}") for k in (1, 2, 3)])
-    exactly = [F.col("n") - F.col("m1"), F.col("m1") - F.col("m2"), F.col("m2") - F.col("m3"), F.col("m3")]
+    same document (row). A context that was met before was met with every shorter one, so the counts follow from the
+    numbers of distinct contexts, which are found where a text is read."""
+    one = distinct_contexts(_documents(spark, sf_dir), 3)
+    met = [F.col("n"), *[F.col("n") - F.col(f"d{k}") for k in (1, 2, 3)]]
+    exactly = [met[0] - met[1], met[1] - met[2], met[2] - met[3], met[3]]
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("active"), x.alias("n_positions")) for k, x in enumerate(exactly)])).alias("r"))
     return rows.select("r.active", "r.n_positions")
 

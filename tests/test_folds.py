@@ -56,3 +56,20 @@ def test_bits_leave_tasks_as_sums(spark, texts, tmp_path):
     for query in (queries.capped_estimates, queries.bit_histories, queries.mixed_predictions):
         plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "aggregate(" not in plan and " ys#" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_distinct_contexts_by_hand(texts):
+    n, d = 0, [0, 0, 0]
+    for r in texts.collect():
+        data = b"\0\0\0" + (r.text or "").encode()
+        n += len(data) - 3
+        for k in (1, 2, 3):
+            d[k - 1] += len({data[i - k : i] for i in range(3, len(data))})
+    assert tuple(folds.distinct_contexts(texts).first()) == (n, *d)
+
+
+def test_active_orders_shuffle_no_contexts(spark, texts, tmp_path):
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.active_orders(spark, str(tmp_path))
+    assert "Aggregate [doc_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.n_positions for r in out.collect()) == sum(len((r.text or "").encode()) for r in texts.collect())
