@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .bytestream import byte_chars, code
 
+#: Characters whose grams a task sorts at once, distinct grams that it remembers, and rows that it sends at once.
+_CHARACTERS, _REMEMBERED, _SENT = 1 << 23, 1 << 24, 1 << 17
+#: Bits of a character's number: its code point plus 1, 0 where a text has none yet.
+_WIDTH = 21
+
 
 def continuation_left(b: Column, c1: Column, c2: Column, c3: Column) -> Column:
     """Continuation bytes still to come after ``b`` in valid UTF-8."""
@@ -76,6 +86,136 @@ def character_contexts(df: DataFrame, order: int, content: str = "text", by: tup
     return character_grams(df, order, content, by).select(*by, context.alias("context"), "next", "n")
 
 
+def distinct_grams(df: DataFrame, content: str = "text") -> DataFrame:
+    """a, b, c: the character itself and the seven before it, as numbers of ``_WIDTH`` bits: c1 c2 c3, c4 c5 c6 and c7 next.
+    Distinct within what a task remembers; while a task has met at most 255 different characters, a gram is one long there."""
+
+    def packed(v: np.ndarray, starts: np.ndarray, at: tuple[int, ...], width: int) -> np.ndarray:
+        key = np.zeros(len(v), np.uint64)
+        for k in at:
+            before = v.astype(np.uint64)
+            if k:
+                before[k:] = before[:-k].copy()
+                first = (starts[:, None] + np.arange(k)).ravel()
+                before[first[first < len(v)]] = 0
+            key <<= np.uint64(width)
+            key |= before
+        return key
+
+    def distinct(keys: np.ndarray) -> np.ndarray:
+        keys.sort()
+        return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+    def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), _SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + _SENT].view(np.int64)) for x in columns], names=["a", "b", "c"])
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, kinds = np.zeros(0x110001, np.uint8), np.zeros(256, np.uint64)
+        known, held = 0, [np.empty(0, np.uint64)]
+
+        def unpacked(keys: np.ndarray) -> list[np.ndarray]:
+            part = lambda k: kinds[keys >> np.uint64(8 * k) & np.uint64(255)]
+            out = []
+            for group in ((7, 6, 5), (4, 3, 2), (1, 0)):
+                word = np.zeros(len(keys), np.uint64)
+                for k in group:
+                    word <<= np.uint64(_WIDTH)
+                    word |= part(k)
+                out.append(word)
+            return out
+
+        for batch in source:
+            texts = [x.as_buffer().to_pybytes().decode("utf-8", "replace") for x in batch.column(0)]
+            lengths, first = np.fromiter(map(len, texts), np.int64, len(texts)), 0
+            ends = np.cumsum(lengths)
+            while first < len(texts):
+                last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _CHARACTERS, "right")), first + 1)
+                v = np.frombuffer("".join(texts[first:last]).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+                starts = (ends - lengths)[first:last][lengths[first:last] > 0] - (ends - lengths)[first]
+                first = last
+                if not len(v):
+                    continue
+                new = np.flatnonzero(np.bincount(v))
+                new = new[number[new] == 0]
+                if known + len(new) <= 255:
+                    number[new] = np.arange(known + 1, known + 1 + len(new))
+                    kinds[known + 1 : known + 1 + len(new)] = new
+                    known += len(new)
+                    held.append(distinct(packed(number[v], starts, (1, 2, 3, 4, 5, 6, 7, 0), 8)))
+                else:  # too many different characters for a byte each
+                    words = [packed(v, starts, at, _WIDTH) for at in ((1, 2, 3), (4, 5, 6), (7, 0))]
+                    order = np.lexsort(words[::-1])
+                    words = [w[order] for w in words]
+                    changed = np.concatenate([[True], np.any([w[1:] != w[:-1] for w in words], axis=0)])
+                    yield from rows([w[changed] for w in words])
+                if sum(map(len, held)) > _REMEMBERED:
+                    held = [distinct(np.concatenate(held))]
+                    if len(held[0]) > _REMEMBERED // 2:
+                        yield from rows(unpacked(held.pop()))
+                        held = [np.empty(0, np.uint64)]
+        yield from rows(unpacked(distinct(np.concatenate(held))))
+
+    texts = df.select(F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("__content"))
+    return texts.mapInArrow(batches, "a long, b long, c long")
+
+
+def context_spread(df: DataFrame, content: str = "text") -> DataFrame:
+    """k (1 to 7), n_contexts, n_deterministic: distinct contexts of the last k characters (fewer at a text's beginning), and
+    those with one successor only. Grams are dealt out by their nearest four characters, so contexts of four and more lie in one
+    task in order, and are counted there in one pass; shorter ones are brought together from what is left of those."""
+    depths = (3, 4, 5, 6, 7)
+
+    def runs(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, opened = None, {}  # the row before; least and greatest successor of the context that each depth ends with
+        counted = {k: [0, 0] for k in depths[1:]}
+
+        def closed(k: int, a: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if k == 3:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), 3, np.int32)), *map(pa.array, (a, low, high))], names=["k", "a", "x", "y"])
+            else:
+                counted[k][0] += len(low)
+                counted[k][1] += int(np.count_nonzero(low == high))
+
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            a, b, c = (x.to_numpy() for x in batch.columns)
+            following = c & ((1 << _WIDTH) - 1)
+            for k in depths:
+                parts = [a, *([b >> _WIDTH * max(6 - k, 0)] if k > 3 else []), *([c >> _WIDTH] if k == 7 else [])]
+                edge = [a[0], *([before[1] >> _WIDTH * max(6 - k, 0)] if before and k > 3 else []), *([before[2] >> _WIDTH] if before and k == 7 else [])]
+                same = before is not None and before[0] == a[0] and all(p[0] == e for p, e in zip(parts, edge))
+                starts = np.concatenate([[0], np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1])
+                low, high, own = np.minimum.reduceat(following, starts), np.maximum.reduceat(following, starts), a[starts]
+                if same:
+                    low[0], high[0] = min(low[0], opened[k][1]), max(high[0], opened[k][2])
+                elif before is not None:
+                    yield from closed(k, *(np.array([x], np.int64) for x in opened[k]))
+                yield from closed(k, own[:-1], low[:-1], high[:-1])
+                opened[k] = int(own[-1]), int(low[-1]), int(high[-1])
+            before = int(a[-1]), int(b[-1]), int(c[-1])
+        if before is not None:
+            for k in depths:
+                yield from closed(k, *(np.array([x], np.int64) for x in opened[k]))
+            columns = [[k for k in counted], [0] * len(counted), [x for x, _ in counted.values()], [y for _, y in counted.values()]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "a", "x", "y"])
+
+    dealt = distinct_grams(df, content).repartition("a", F.call_function("shiftright", F.col("b"), F.lit(2 * _WIDTH)))
+    found = cut(dealt.sortWithinPartitions("a", "b", "c").mapInArrow(runs, "k int, a long, x long, y long"))
+    out = found.where("k > 3").groupBy("k").agg(F.sum("x").alias("n_contexts"), F.sum("y").alias("n_deterministic"))
+    shorter = found.where("k = 3").select("a", "x", "y")
+    for k in (3, 2, 1):
+        key = F.call_function("shiftright", F.col("a"), F.lit(0 if k == 3 else _WIDTH)).alias("a")
+        shorter = shorter.groupBy(key).agg(F.min("x").alias("x"), F.max("y").alias("y"))
+        one = F.coalesce(F.sum((F.col("x") == F.col("y")).cast("long")), F.lit(0))
+        out = out.unionByName(shorter.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_contexts"), one.alias("n_deterministic")))
+    orders = df.sparkSession.range(1, 8).select(F.col("id").cast("int").alias("k"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_contexts", "n_deterministic")]
+    return orders.join(out, "k", "left").select("k", *zero)
+
+
 #: Runs of one token type: letters and digits, other ASCII, other characters.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x7F]+"
 

@@ -117,23 +117,10 @@ order0_entropy, order1_entropy, order2_entropy = _entropy(0), _entropy(1), _entr
 
 def character_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct contexts of the last 1 to 7 characters, and how many have one successor only. The texts are read for the
-    longest contexts; the counts of each order are sums of those of the next one."""
-    counts, parts = contexts.character_grams(_documents(spark, sf_dir), 7), []
-    for order in range(7, 0, -1):
-        keys = [f"c{k}" for k in range(1, order + 1)]
-        counts = counts.groupBy(*keys, "next").agg(F.sum("n").alias("n")) if order < 7 else counts
-        per = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("successors"), F.sum("n").alias("n"))
-        parts.append(
-            per.agg(
-                F.lit(order).alias("k"), F.count(F.lit(1)).alias("n_contexts"),
-                F.coalesce(F.sum((F.col("successors") == 1).cast("long")), F.lit(0)).alias("n_deterministic"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n_positions"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    longest contexts; those of each order follow from the next one's."""
+    docs = _documents(spark, sf_dir)
+    positions = docs.agg(F.coalesce(F.sum(F.char_length("text").cast("long")), F.lit(0)).alias("n_positions"))
+    return contexts.context_spread(docs).crossJoin(F.broadcast(positions))
 
 
 CHARACTER_CONTEXTS = """
